@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, linededup, media, quality, simhash
+from quern.llm import decontam, langid, licenses, linededup, media, packing, quality, sharding, simhash, urlfilter
 from quern.llm.common import documents, fold, table
 
 
@@ -44,5 +44,77 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_language_id, op4_simhash_dedup, op6_quality_classifier)}
-SQL: dict[str, str] = {}
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.RULES).drop("aliases")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licences(documents(spark, sf_dir))
+    return out.select("doc_id", F.array_join("families", ",").alias("licenses"), F.size("findings").cast("long").alias("n_findings"), "n_unknown")
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir).select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
+
+
+def vocabulary() -> str:
+    """The public vocabulary file, which is not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_line_dedup, op3_language_id, op4_simhash_dedup, op5_url_filters,
+        op6_quality_classifier, op7_decontamination, op8_license_scans, op9_sharding, op10_packing,
+    )
+}
+
+_LINK_RE = r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)"""
+_HOST = "translate(regexp_extract({u}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TABLE9 = ",".join(map(str, sharding.lookup_table(SHARDS)))
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+rep AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT keyed.*, rep.keeper IS NOT NULL AND rep.keeper <> doc_id AS lost FROM keyed LEFT JOIN rep USING (k))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+    "op5_url_filters": f"""
+WITH RECURSIVE p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+  regexp_extract(html, '{_LINK_RE}', 1) AS link FROM pages),
+q AS (SELECT page_id, {_HOST.format(u='rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, link FROM p),
+n AS (SELECT *, host || CASE WHEN tail = '' THEN '/' WHEN starts_with(tail, '?') THEN '/' || tail ELSE tail END AS node,
+  CASE WHEN contains(link, '://') THEN substr(link, instr(link, '://') + 3) END AS l FROM q),
+e0 AS (SELECT DISTINCT node AS a, {_HOST.format(u='l')} || CASE regexp_extract(l, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(l, '^[^/?#]*([^#]*)', 1) END AS b
+  FROM n WHERE l IS NOT NULL AND host <> ''),
+e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
+r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+j AS (SELECT x, {urlfilter.rules_sql("split_part(split_part(y, '/', 1), '?', 1)", "regexp_extract(y, '^[^/?#]*([^?#]*)', 1)", urlfilter.RULES, 'verdict')} AS v FROM r),
+g AS (SELECT x, bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), false) AS bad FROM j GROUP BY x),
+m AS (SELECT n.*, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'rule')} AS rule, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'verdict')} AS own FROM n)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN g.bad THEN 'block' END, 'allow') AS verdict FROM m LEFT JOIN g ON m.node = g.x""",
+    "op9_sharding": f"""
+WITH t AS (SELECT string_split('{_TABLE9}', ',') AS owners),
+d AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS} AS BIGINT) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(owners[slot + 1], 2, '0') AS shard FROM d, t""",
+}
