@@ -24,8 +24,9 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-
 class WordTokenizer:
     """Ids of whole texts under ``word_bpe_49k.json``, word by word.
 
-    The vocabulary never merges across words, so that a word's ids can be remembered (up to ``size`` words). Texts with
-    characters on which normalisers differ, or with a special token's text, go through the tokenizer as a whole.
+    The vocabulary never merges across words, so that a word's ids can be remembered (up to ``size`` words). New words
+    are encoded together; the tokens that end a word tell them apart. Texts with characters on which normalisers differ,
+    or with a special token's text, go through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, size: int = 1 << 19):
@@ -34,6 +35,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.size = size
 
@@ -49,10 +53,29 @@ class WordTokenizer:
             if len(known) + len(new) > self.size:
                 known.clear()
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            raw = ids.tobytes()
+            self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        else:
+            for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer: a worker that runs several tasks keeps the words it knows."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
 
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
     """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, and its place among pieces of one
@@ -62,7 +85,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     def run(batches):
         from pyspark import TaskContext
 
-        tok, pid, nth = WordTokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        tok, pid, nth = tokenizer(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         last = int(end).to_bytes(4, "little")
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
