@@ -67,8 +67,9 @@ class Hasher:
         known = self.known
         if len(known) > self.size:
             known.clear()
-        for t in set(toks) - known.keys():
-            known[t] = xxhash.xxh3_64_intdigest(t)
+        for t in set(toks):
+            if t not in known:
+                known[t] = xxhash.xxh3_64_intdigest(t)
         h = np.fromiter(map(known.__getitem__, toks), np.uint64, len(toks))
         if len(toks) < width:
             return _mix(h, 1, len(toks)) ^ np.uint64(0x5851F42D4C957F2D)
