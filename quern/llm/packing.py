@@ -48,13 +48,15 @@ class WordTokenizer:
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = _SPLIT.findall(text.lower())
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > self.size:
-                known.clear()
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = list({w for w, f in zip(words, found, strict=True) if f is None})
+            if len(self.known) + len(new) > self.size:
+                self.known.clear()
                 new = list(set(words))
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+            found = list(map(self.known.__getitem__, words))
+        return b"".join(found)
 
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
