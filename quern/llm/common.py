@@ -6,13 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
+__all__ = ["ascii_lower", "ascii_lower_py", "documents", "fold", "fold_py", "forget", "settle", "shared_dir", "ship", "table"]
+
 _OWN_DIR: str | None = None
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -66,20 +68,6 @@ def _forget_all() -> None:
             _delete(*item)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application (they need not have it installed)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quern_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="quern-")) / "quern_code.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(archive))
-    sc._quern_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
