@@ -85,13 +85,13 @@ def _mix(h: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def _slotted(toks: list[str], slots: list[str | None], width: int = WINDOW) -> np.ndarray:
-    """Positions of windows that hold a slot and at least three literal words (short texts: any literal word)."""
+    """Positions of windows that hold a slot and a literal word: placeholders alone say nothing."""
     if not toks:
         return np.zeros(0, np.int64)
     s = np.array([x is not None for x in slots])
     w = min(width, len(toks))
     n = np.convolve(s.astype(int), np.ones(w, int), "valid")
-    return np.flatnonzero((n > 0) & (w - n >= min(3, w - 1)) & (w - n >= 1))
+    return np.flatnonzero((n > 0) & (n < w))
 
 
 _SHAPE = "item string, at int, kind int, h bigint, slots array<string>"
