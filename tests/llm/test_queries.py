@@ -1,0 +1,82 @@
+"""Registered queries against their SQL, and the pipeline against its stages by brute force."""
+
+import glob
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+from quern.llm import decontam
+from quern.llm.queries import QUERIES, SQL
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, sf_dir, name):
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf_dir}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    df = QUERIES[name](spark, sf_dir)
+    want = c.sql(SQL[name])
+    order = sorted(df.columns)
+    got = Counter(tuple(str(r[x]) for x in order) for r in df.collect())
+    assert sorted(want.columns) == order
+    assert got == Counter(tuple(str(r[want.columns.index(x)]) for x in order) for r in want.fetchall())
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def stages(spark, docs, sf_dir):
+    out = [docs]
+    for _, f in corpus_pipeline.STAGES:
+        out.append(f(spark, out[-1], sf_dir).persist())
+    return out
+
+
+def test_pipeline_by_brute_force(spark, sf_dir):
+    from test_operators import brute_fingerprint, brute_lines, check_packing, groups
+
+    from quern.llm import quality
+    from quern.llm.queries import labelled
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = stages(spark, docs, sf_dir)
+    for df in kept[:-1]:
+        assert df.columns == docs.columns
+    text = [{r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for df in kept[:-1]]
+    model = quality.fit(labelled(docs, spark, sf_dir))
+    assert set(text[1]) == {d for d, t in text[0].items() if model.score(t) >= 0.3} and 0 < len(text[1]) < len(text[0])
+    assert all(text[1][d] == text[0][d] for d in text[1])
+    assert Counter((d, t) for d, t in text[2].items()) == Counter({(d, t): n for (d, _, _, t), n in brute_lines(list(text[1].items())).items()})
+    fps = {d: brute_fingerprint(t) for d, t in text[2].items()}
+    ids = sorted(fps)
+    label = groups(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert text[3] == {d: text[2][d] for d in set(label.values())}
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [decontam.tokens(t)] for i in range(len(w) - 4)]
+    bad = {d for d, t in text[3].items() for held in [set(cut(t))] for x in items if sum(w in held for w in cut(x)) >= 0.8 * len(cut(x))}
+    assert text[4] == {d: t for d, t in text[3].items() if d not in bad}
+    check_packing([tuple(r) for r in kept[5].collect()], list(text[4].items()))
+    assert kept[2].where("n_chars <> length(text)").count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf_dir, odd, none):
+    for docs in (odd, none):
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, sf_dir)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns
+            if docs is none:
+                assert not got
+            elif name in ("line_dedup", "decontamination"):
+                assert len(got) == 15
+            elif name == "near_dedup":
+                assert len(got) < 15 and len({(r.doc_id, r.text) for r in got}) == len(got)
