@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ LOG2 = 18
 SIZE = 1 << LOG2
 _SHAPES: np.ndarray | None = None
 _CHUNK = 1 << 20
+_SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 
 
 def _shape_table() -> np.ndarray:
@@ -28,7 +31,11 @@ def _shape_table() -> np.ndarray:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a whole text: character 1-, 2- and 3-grams, and 5-grams of character shapes."""
+    """Sorted distinct feature numbers of a whole text.
+
+    Character 1-, 2- and 3-grams, 5-grams of character shapes, and what the word 2-grams look like: which of some shares
+    the repeated neighbours reach, and the share of distinct words by the number of words in powers of two.
+    """
     if not text:
         return np.zeros(0, np.int64)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -44,6 +51,12 @@ def features(text: str | None) -> np.ndarray:
             s = _shape_table()[np.minimum(c, 0x2FFF).astype(np.int64)].astype(np.uint64)
             if len(s) >= 5:
                 _mark(seen, (((((s[:-4] << 3 | s[1:-3]) << 3) | s[2:-2]) << 3 | s[3:-1]) << 3 | s[4:]) + np.uint64(1 << 40))
+    words = text.split()
+    if len(words) > 1:
+        again = sum(map(eq, words, islice(words, 1, None)))
+        kinds = int(8 * len(set(words)) / len(words)) * 64 + min(len(words).bit_length(), 63)
+        reached = [(2 << 40) + i for i, share in enumerate(_SHARES) if again >= share * len(words)]
+        _mark(seen, np.array([*reached, (3 << 40) + kinds], np.uint64))
     return np.flatnonzero(seen)
 
 
