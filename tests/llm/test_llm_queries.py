@@ -41,7 +41,7 @@ def stages(spark, docs, sf_dir):
 
 
 def test_pipeline_by_brute_force(spark, sf_dir):
-    from test_operators import brute_fingerprint, brute_lines, check_packing, groups
+    from test_llm_operators import brute_fingerprint, brute_lines, check_packing, groups
 
     from quern.llm import quality
     from quern.llm.queries import labelled
