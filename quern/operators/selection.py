@@ -117,15 +117,30 @@ class SelectPercentile(Estimator):
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """Pearson correlation over the rows where both columns are finite, all pairs in one aggregate."""
+    """Pearson correlation over the rows where both columns are finite.
+
+    One aggregate counts the finite values; pairs of columns without gaps then need only their covariance and each
+    column's variance, the others variances over their common rows.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: f"v{i}" for i, c in enumerate(names)}
+    clean = df.select(*[finite(q(c)).alias(at[c]) for c in names])
+    first = clean.agg(F.count("*").alias("all"), *[f(at[c]).alias(f"{k}{at[c]}") for c in names for k, f in (("n", F.count), ("s", F.var_pop))]).first()
+    gaps = {c for c in names if first[f"n{at[c]}"] < first["all"]}
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = finite(q(a)), finite(q(b))
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggs += [F.count(x).alias(f"n{i}"), F.var_pop(x).alias(f"x{i}"), F.var_pop(y).alias(f"y{i}"), F.covar_pop(x, y).alias(f"c{i}")]
-    row = df.agg(*aggs).first()
-    return {p: snapped(*(row[f"{k}{i}"] for k in "nxyc")) for i, p in enumerate(pairs)}
+        x, y = F.col(at[a]), F.col(at[b])
+        aggs.append(F.covar_pop(x, y).alias(f"c{i}"))
+        if a in gaps or b in gaps:
+            both = x.isNotNull() & y.isNotNull()
+            aggs += [F.count_if(both).alias(f"n{i}"), F.var_pop(F.when(both, x)).alias(f"x{i}"), F.var_pop(F.when(both, y)).alias(f"y{i}")]
+    row = clean.agg(*aggs).first().asDict()
+    out = {}
+    for i, (a, b) in enumerate(pairs):
+        whole = (first["all"], first[f"s{at[a]}"], first[f"s{at[b]}"])
+        n, vx, vy = (row.get(f"{k}{i}", w) for k, w in zip("nxy", whole, strict=True))
+        out[a, b] = snapped(n, vx, vy, row[f"c{i}"])
+    return out
 
 
 def snapped(n, vx, vy, cov) -> float:
