@@ -392,7 +392,7 @@ def _twins(spark, sf):
 add("correlation_threshold", lambda spark, sf: rounded(Q.CorrelationThreshold(0.95).fit_transform(_twins(spark, sf))), "SELECT " + ", ".join(r(c, c) for c in NUM) + " FROM lineitem")
 add("correlation_threshold_spearman", lambda spark, sf: rounded(Q.CorrelationThreshold(0.95, "spearman").fit_transform(_twins(spark, sf).select("k", "l_quantity", "l_discount", "twice"))), f"SELECT {r('l_quantity', 'l_quantity')}, {r('l_discount', 'l_discount')} FROM lineitem")
 add("mutual_information", _scores(lambda: Q.MutualInformationSelector(2)))
-add("mutual_information_regression", _scores(lambda: Q.MutualInformationSelector(2, "regression", max_rows=4000)))
+add("mutual_information_regression", _scores(lambda: Q.MutualInformationSelector(2, "regression")))
 
 # composition
 _SCALED = "WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, min(l_discount) AS a, max(l_discount) AS b FROM lineitem)"

@@ -6,8 +6,6 @@ import math
 from collections.abc import Callable
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +14,7 @@ from pyspark.sql.window import Window
 from quern.base import Estimator, Select, doubles, non_empty
 from quern.errors import InvalidInput
 from quern.functions.exprs import finite, num, q
+from quern.functions.neighbours import Held, ball, below, count_within, digamma, neighbour_distances
 
 #: (frame, feature columns, target) -> one score per column; the extension point of the selectors.
 ScoreFunction = Callable[[DataFrame, list[str], str], list[tuple[str, float]]]
@@ -150,14 +149,14 @@ def snapped(n, vx, vy, cov) -> float:
     return math.copysign(1.0, r) if abs(abs(r) - 1) <= 1e-12 else min(1.0, max(-1.0, r))
 
 
-def average_ranks(df: DataFrame, name: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, name: str, out: str, hold: Held) -> DataFrame:
     """``df`` with the average rank of a double column, without a global window.
 
     Distinct values are counted and range-partitioned; one running sum per partition and the partitions' totals (as
     many numbers as partitions) give every value its rank, which joins back by value.
     """
     counts = df.groupBy(q(name).alias("__v")).agg(F.count("*").alias("__n")).repartitionByRange("__v")
-    counts = counts.withColumn("__p", F.spark_partition_id()).persist()
+    counts = hold(counts.withColumn("__p", F.spark_partition_id()))
     totals = {r["__p"]: r["t"] for r in counts.groupBy("__p").agg(F.sum("__n").alias("t")).collect()}
     before, seen = {}, 0
     for p in sorted(totals):
@@ -193,8 +192,9 @@ class CorrelationThreshold(Estimator):
             r = {}
             for a, b in pairs:
                 rows = df.select(finite(q(a)).alias("x"), finite(q(b)).alias("y")).where("x is not null and y is not null")
-                ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-                r[a, b] = pair_correlations(ranked, [("rx", "ry")])["rx", "ry"]
+                with Held() as hold:
+                    ranked = average_ranks(average_ranks(rows, "x", "rx", hold), "y", "ry", hold)
+                    r[a, b] = pair_correlations(ranked, [("rx", "ry")])["rx", "ry"]
         kept: list[str] = []
         for c in cols:
             if not any(abs(r[k, c]) >= self.threshold for k in kept):
@@ -202,91 +202,77 @@ class CorrelationThreshold(Estimator):
         return Select(kept)
 
 
-def digamma(n: np.ndarray) -> np.ndarray:
-    """At whole numbers: harmonic numbers less Euler's constant."""
-    n = np.asarray(n, np.int64)
-    return np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, max(int(n.max()), 1) + 1))])[n - 1] - 0.5772156649015329
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    span = x.max() - x.min()
-    return (x - x.min()) / span if span > 0 else np.zeros_like(x)
-
-
-def mutual_classes(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Ross's estimator for a class target: sorted arrays, k neighbours among the 2k around each value."""
-    if len(x) < 2:
-        return 0.0
-    x = _unit(x)
-    every = np.sort(x)
-    radius, ks, counts = [], [], []
-    at = []
-    for label in np.unique(y):
-        own = np.sort(x[y == label])
-        c = len(own)
-        if c < 2:
-            continue
-        kk = min(max(k, 1), c - 1)
-        near = np.full((c, 2 * kk), np.inf)
-        for d in range(1, kk + 1):
-            near[d:, d - 1] = own[d:] - own[:-d]
-            near[:-d, kk + d - 1] = own[d:] - own[:-d]
-        r = np.sort(near, axis=1)[:, kk - 1]
-        radius.append(np.where(r > 0, np.nextafter(r, 0), 0))
-        at.append(own), ks.append(np.full(c, kk)), counts.append(np.full(c, c))
-    if not at:
-        return 0.0
-    at, radius, ks, counts = map(np.concatenate, (at, radius, ks, counts))
-    m = np.array([_within(every, v, r) for v, r in zip(at, radius, strict=True)])
-    n = len(at)
-    return float(max(0.0, digamma(np.array([n]))[0] + (digamma(ks) - digamma(counts) - digamma(m)).sum() / n))
-
-
-def _within(ordered: np.ndarray, v: float, r: float) -> int:
-    """Values at distance <= r, by the distances themselves (v - r may round)."""
-    lo, hi = np.searchsorted(ordered, v - r, "left"), np.searchsorted(ordered, v + r, "right")
-    while lo > 0 and v - ordered[lo - 1] <= r:
-        lo -= 1
-    while lo < hi and v - ordered[lo] > r:
-        lo += 1
-    while hi < len(ordered) and ordered[hi] - v <= r:
-        hi += 1
-    while hi > lo and ordered[hi - 1] - v > r:
-        hi -= 1
-    return int(hi - lo)
-
-
-def mutual_numbers(x: np.ndarray, y: np.ndarray, k: int, block: int = 256) -> float:
-    """The first estimator of Kraskov, Stoegbauer and Grassberger, with max-norm distances, in blocks of rows."""
-    n = len(x)
-    if n < 2:
-        return 0.0
-    x, y, k = _unit(x), _unit(y), min(max(k, 1), n - 1)
-    total = 0.0
-    for at in range(0, n, block):
-        dx, dy = np.abs(x[at : at + block, None] - x[None, :]), np.abs(y[at : at + block, None] - y[None, :])
-        joint = np.maximum(dx, dy)
-        rows = np.arange(len(joint))
-        joint[rows, at + rows] = np.inf
-        r = np.partition(joint, k - 1, axis=1)[:, k - 1, None]
-        dx[rows, at + rows] = dy[rows, at + rows] = np.inf
-        total += (digamma((dx < r).sum(1) + 1) + digamma((dy < r).sum(1) + 1)).sum()
-    return float(max(0.0, digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - total / n))
+def _unit_points(df: DataFrame, cols: list[str], target: str) -> tuple[DataFrame, dict[int, int]]:
+    """Distinct pairs ``i``, ``x``, ``y`` of each column and the target, both finite and scaled to [0, 1], with their
+    number ``w``, and ``t``, the target as it is; and the number of rows of each column."""
+
+    def stacked(scale) -> DataFrame:
+        pairs = []
+        for i, c in enumerate(cols):
+            x, y = finite(q(c)), finite(q(target))
+            sx, sy = scale(i, x, y)
+            pairs.append(F.struct(F.lit(i).alias("i"), (sx + 0.0).alias("x"), (sy + 0.0).alias("y"), (y + 0.0).alias("t"), (x.isNotNull() & y.isNotNull()).alias("ok")))
+        return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("ok").drop("ok")
+
+    ends = [f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    spans = {r.i: r for r in stacked(lambda i, x, y: (x, y)).groupBy("i").agg(F.count("*").alias("n"), *ends).collect()}
+
+    def unit(v, lo: float, hi: float):
+        return (v - num(lo)) / num(hi - lo) if hi > lo else num(0)
+
+    def scaled(i, x, y):
+        r = spans.get(i)
+        return (x, y) if r is None else (unit(x, r.lox, r.hix), unit(y, r.loy, r.hiy))
+
+    return stacked(scaled).groupBy("i", "x", "y", "t").agg(F.count("*").alias("w")), {i: r.n for i, r in spans.items()}
+
+
+def mutual_classes(df: DataFrame, cols: list[str], target: str, k: int, hold: Held) -> dict[str, float]:
+    """Ross's estimator for a class target: the k-th neighbour of the same class, then all values in that radius."""
+    points, rows = _unit_points(df, cols, target)
+    points = hold(points.select("i", F.col("i").cast("string").alias("c"), F.col("x").alias("v"), F.concat_ws(":", "i", "t").alias("g"), "w"))
+    sizes = points.groupBy("g").agg(F.sum("w").alias("size")).where("size > 1")
+    asked = hold(points.join(sizes, "g").withColumns({"a": F.col("v"), "b": F.col("v"), "kk": F.least(F.lit(max(k, 1)), F.col("size") - 1).cast("int")}))
+    near = neighbour_distances(asked, max(k, 1), hold).select("g", F.col("a").alias("v"), "r")
+    near = hold(asked.select("g", "v", "c", "w", "kk", "size").join(near, ["g", "v"]).withColumn("r", below("r")))
+    found = count_within(points.select(F.col("c").alias("g"), "v", "w"), ball(near.select(F.col("c").alias("g"), "v", "r", "w", "kk", "size"), "v", "r"), "m", hold)
+    sums = found.groupBy("g").agg(F.sum("w").alias("n"), F.sum(F.col("w") * (digamma(F.col("kk")) - digamma(F.col("size")) - digamma(F.col("m")))).alias("s"))
+    got = {int(r.g): max(0.0, r.psi + r.s / r.n) for r in sums.withColumn("psi", digamma(F.col("n"))).collect()}
+    return {c: got.get(i, 0.0) if rows.get(i, 0) > 1 else 0.0 for i, c in enumerate(cols)}
+
+
+def mutual_numbers(df: DataFrame, cols: list[str], target: str, k: int, hold: Held) -> dict[str, float]:
+    """The first estimator of Kraskov, Stoegbauer and Grassberger: the k-th neighbour of the pair in the maximum norm,
+    then the values of each coordinate that are strictly nearer."""
+    points, rows = _unit_points(df, cols, target)
+    many = F.element_at(F.create_map(*[F.lit(x) for kv in (rows or {-1: 0}).items() for x in kv]), F.col("i"))
+    points = hold(points.where(many > 1).select(F.col("i").cast("string").alias("g"), F.col("x").alias("a"), F.col("y").alias("b"), "w", F.least(F.lit(max(k, 1)), many - 1).cast("int").alias("kk")))
+    near = hold(neighbour_distances(points, max(k, 1), hold))
+    total: dict[str, float] = {}
+    for axis in "ab":
+        own = points.select("g", F.col(axis).alias("v"), "w")
+        asked = near.groupBy("g", F.col(axis).alias("v"), "r").agg(F.sum("w").alias("w")).withColumns({"zero": F.col("r") == 0, "r": below("r")})
+        found = count_within(own, ball(asked, "v", "r"), "m", hold)
+        n = F.when(F.col("zero"), 1).otherwise(F.col("m"))
+        for r in found.groupBy("g").agg(F.sum(F.col("w") * digamma(n)).alias("s")).collect():
+            total[r.g] = total.get(r.g, 0.0) + r.s
+    psi = lambda m: float(near.sparkSession.range(1).select(digamma(F.lit(m))).first()[0])
+    return {c: max(0.0, psi(min(max(k, 1), rows[i] - 1)) + psi(rows[i]) - total[str(i)] / rows[i]) if str(i) in total else 0.0 for i, c in enumerate(cols)}
 
 
 class MutualInformationSelector(Estimator):
     """The k columns with most mutual information with a double target (``classification`` or ``regression``), ties by name.
 
-    Nearest-neighbour estimates need a column's values together, so each column is one task over at most ``max_rows``
-    rows: tables up to that size are used whole, of larger ones rows are taken by hash. The bound is a setting.
+    Nearest-neighbour estimates over all rows where both are finite, exact at any size: see ``neighbour_distances`` and
+    ``count_within``. Equal pairs travel as one row with their number.
     """
 
     supervised = True
 
-    def __init__(self, k: int = 10, task: str = "classification", n_neighbors: int = 3, max_rows: int = 100_000):
+    def __init__(self, k: int = 10, task: str = "classification", n_neighbors: int = 3):
         if task not in ("classification", "regression"):
             raise InvalidInput(f"unknown task '{task}'")
-        self.k, self.task, self.n_neighbors, self.max_rows = k, task, n_neighbors, max_rows
+        self.k, self.task, self.n_neighbors = k, task, n_neighbors
 
     def _fit(self, df, target):
         if self.k < 1:
@@ -294,20 +280,8 @@ class MutualInformationSelector(Estimator):
         if not isinstance(df.schema[target].dataType, T.DoubleType):
             raise InvalidInput(f"the target '{target}' is not double")
         cols = doubles(df, target)
-        n = df.count()
-        if not n:
-            raise InvalidInput("the frame has no rows")
-        if n > self.max_rows:
-            place = F.pmod(F.xxhash64(*[q(c) for c in [*cols, target]]), F.lit(1 << 30))
-            df = df.where(place < F.lit(int(self.max_rows / n * (1 << 30)))).limit(self.max_rows)
-        pairs = F.array(*[F.struct(F.lit(i).alias("i"), finite(q(c)).alias("x"), finite(q(target)).alias("y")) for i, c in enumerate(cols)])
-        rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null and y is not null")
-        estimate, k = mutual_classes if self.task == "classification" else mutual_numbers, self.n_neighbors
-
-        def score(group: pa.Table) -> pa.Table:
-            value = estimate(group["x"].to_numpy(), group["y"].to_numpy(), k)
-            return pa.table({"i": pa.array([group["i"][0].as_py()], pa.int32()), "s": pa.array([value], pa.float64())})
-
-        got = {r.i: r.s for r in rows.groupBy("i").applyInArrow(score, "i int, s double").collect()}
-        scores = [(c, got.get(i, 0.0)) for i, c in enumerate(cols)]
+        non_empty(df)
+        estimate = mutual_classes if self.task == "classification" else mutual_numbers
+        with Held() as hold:
+            scores = list(estimate(df, cols, target, self.n_neighbors, hold).items())
         return Select([c for c, _ in _order(scores, True, False)[: self.k]], scores)

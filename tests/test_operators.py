@@ -255,26 +255,59 @@ def test_selection(spark, numeric):
         Q.SelectKBest(1).fit(df.where("y = 1"), "y")
 
 
-def test_mutual_information_against_definition():
+def psi(n):
+    return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+
+def unit(x):
+    return (x - x.min()) / (x.max() - x.min())
+
+
+def ross(x, y, k):
+    u, terms = unit(x), []
+    for i in range(len(u)):
+        same = sorted(abs(u[i] - u[j]) for j in range(len(u)) if j != i and y[j] == y[i])
+        if same:
+            kk = min(k, len(same))
+            r = math.nextafter(same[kk - 1], 0) if same[kk - 1] > 0 else 0.0
+            terms.append(psi(kk) - psi(len(same) + 1) - psi(sum(abs(u[i] - v) <= r for v in u)))
+    return max(0.0, psi(len(terms)) + sum(terms) / len(terms))
+
+
+def ksg(x, y, k):
+    u, v, total = unit(x), unit(y), 0.0
+    for i in range(len(u)):
+        dx, dy = [abs(u[i] - a) for j, a in enumerate(u) if j != i], [abs(v[i] - a) for j, a in enumerate(v) if j != i]
+        r = sorted(max(p) for p in zip(dx, dy, strict=True))[k - 1]
+        total += psi(sum(d < r for d in dx) + 1) + psi(sum(d < r for d in dy) + 1)
+    return max(0.0, psi(k) + psi(len(u)) - total / len(u))
+
+
+@pytest.mark.parametrize("slab", [50_000, 37])
+def test_mutual_information_against_definition(spark, monkeypatch, slab):
     import numpy as np
 
-    from quern.operators.selection import _unit, digamma, mutual_classes, mutual_numbers
+    from quern.functions import neighbours
 
+    monkeypatch.setattr(neighbours, "SLAB", slab)
     rng = np.random.default_rng(0)
-    x = rng.normal(size=120).round(2)
-    y = (x + rng.normal(size=120) > 0).astype(float)
-    u = _unit(x)
-    terms = []
-    for i in range(len(u)):
-        same = np.sort([abs(u[i] - u[j]) for j in range(len(u)) if j != i and y[j] == y[i]])
-        k = min(max(3, 1), len(same))
-        r = np.nextafter(same[k - 1], 0) if same[k - 1] > 0 else 0.0
-        m = sum(abs(u[i] - v) <= r for v in u)
-        terms.append(digamma([k])[0] - digamma([len(same) + 1])[0] - digamma([m])[0])
-    assert mutual_classes(x, y, 3) == pytest.approx(max(0.0, digamma([len(u)])[0] + np.mean(terms)))
-    a = rng.normal(size=600)
-    b = 0.8 * a + 0.6 * rng.normal(size=600)
-    assert mutual_numbers(a, b, 3) == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.12)
+    a = rng.normal(size=300)
+    cols = {"a": a, "tied": a.round(1), "few": rng.integers(0, 3, 300).astype(float), "flat": np.ones(300)}
+    y = 0.8 * a + 0.6 * rng.normal(size=300)
+    side = (y > 0).astype(float)
+    side[0] = 7.0  # a class of one row
+    rows = [tuple(float(v[i]) for v in (*cols.values(), y, side)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, float("inf"), float("nan"), 1.0, 0.5, 1.0)], "a double, tied double, few double, flat double, y double, side double")
+    for task, target, by in (("classification", "side", lambda x: ross(x, side, 3)), ("regression", "y", lambda x: ksg(x, y, 3))):
+        found = dict(Q.MutualInformationSelector(2, task).fit(df.select("a", "tied", "few", target), target).scores)
+        assert found == {c: pytest.approx(by(cols[c]), abs=1e-9) for c in ("a", "tied", "few")}
+        assert task == "classification" or found["a"] == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.2)
+
+
+def test_mutual_information_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 1.0, None)], "flat double, side double, gone double")
+    for task in ("classification", "regression"):
+        assert dict(Q.MutualInformationSelector(1, task).fit(df, "side").scores) == {"flat": 0.0, "gone": 0.0}
 
 
 def test_compositions(spark, numeric):
