@@ -238,11 +238,26 @@ class LeaveOneOut(Model):
         h = F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")
         return tuple(df.agg(F.count("*"), F.sum(h)).first())
 
+    def prepare(self, df):
+        for i, c in enumerate(self.cols):
+            if len(self.sums[c]) > LITERAL:
+                rows = df.sparkSession.createDataFrame([(v, s, n) for v, (s, n) in self.sums[c].items()], "k string, s double, n bigint")
+                table = rows.select(F.col("k").alias("__k"), F.struct("s", "n").alias(f"__loo_{i}"))
+                df = df.join(table, q(c) == F.col("__k"), "left").drop("__k")
+        return df
+
+    def _sums(self, i: int, name: str) -> Column:
+        if len(self.sums[name]) > LITERAL:
+            return q(f"__loo_{i}")
+        if not self.sums[name]:
+            return F.lit(None).cast("struct<s:double,n:int>")
+        table = {v: F.struct(num(s).alias("s"), F.lit(n).alias("n")) for v, (s, n) in self.sums[name].items()}
+        return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), q(name))
+
     def outputs(self, schema):
         y, new = finite(q(self.target)), {}
-        for c in self.cols:
-            table = {v: F.struct(num(s).alias("s"), F.lit(n).alias("n")) for v, (s, n) in self.sums[c].items()}
-            at = F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), q(c)) if table else F.lit(None).cast("struct<s:double,n:int>")
+        for i, c in enumerate(self.cols):
+            at = self._sums(i, c)
             left = at["n"] - F.when(y.isNotNull(), 1).otherwise(0)
             total = at["s"] - F.coalesce(y, num(0))
             w = left / (left + num(self.alpha))

@@ -154,6 +154,10 @@ def test_large_maps_are_joined(spark, monkeypatch, colors):
 
     monkeypatch.setattr(enc, "LITERAL", 1)
     assert sorted(r.color for r in Q.CountEncoder().fit_transform(colors).collect()) == [1, 1, 2, 2]
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0), ("a", None)], "c string, y double")
+    out = Q.LeaveOneOutEncoder().fit_transform(df, "y")
+    assert out.columns == ["c", "y"]
+    assert {(r.y, r.c) for r in out.collect()} == {(1.0, 3.0), (3.0, 1.0), (5.0, 4.0), (7.0, None), (None, 2.0)}
 
 
 def test_rare_cleaner_cyclical_hash(spark, colors):
