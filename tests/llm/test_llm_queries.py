@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -80,3 +81,65 @@ def test_stages_take_odd_rows(spark, sf_dir, odd, none):
                 assert len(got) == 15
             elif name == "near_dedup":
                 assert len(got) < 15 and len({(r.doc_id, r.text) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_dedup_finds_changed_words(spark, sf_dir, hot):
+    """Near copies with a few changed words, by brute force over whole shingle sets; hot lists give the same groups."""
+    import random
+
+    from test_llm_operators import groups
+
+    from quern.llm import neardup, simhash
+
+    rng = random.Random(hot)
+    vocab = [f"w{i}" for i in range(400)]
+    common = rng.choices(vocab, k=30)
+    texts = [None, "", " \n", "one two", "one two", "One TWO three"]
+    for size in (6, 20, 90, 90, 300):
+        base = rng.choices(vocab, k=size) + common * (size == 90)
+        for changes in (0, 0, 1, 1, 2, 2, 3, 4, 5):
+            w = list(base)
+            for at in rng.sample(range(len(w)), min(changes, len(w))):
+                w[at] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if like(sets[i], sets[j])]
+    label = groups(range(len(docs)), pairs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(df, hot=hot).collect()} == dict(label)
+    kept = corpus_pipeline.near_dedup_stage(spark, df, sf_dir)
+    assert {r.doc_id for r in kept.collect()} == set(label.values())
+    far = [(i, j) for i, j in pairs if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
+    assert far
+
+
+def test_pipeline_keeps_one_of_similar_texts(spark, sf_dir):
+    """The stages from near dedup on, held against five-word similarity of whole texts."""
+    from test_llm_operators import check_packing, groups
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = stages(spark, docs, sf_dir)
+    text = [{r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for df in kept[:-1]]
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids = sorted(text[2])
+    sets = {d: grams(text[2][d]) for d in ids}
+    like = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    label = groups(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if like(sets[a], sets[b])])
+    assert text[3] == {d: text[2][d] for d in set(label.values())}
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [decontam.tokens(t)] for i in range(len(w) - 4)]
+    bad = {d for d, t in text[3].items() for held in [set(cut(t))] for x in items if sum(w in held for w in cut(x)) >= 0.8 * len(cut(x))}
+    assert text[4] == {d: t for d, t in text[3].items() if d not in bad}
+    check_packing([tuple(r) for r in kept[5].collect()], list(text[4].items()))
