@@ -22,6 +22,7 @@ UNITS = frozenset(
     pound pounds € $ £ usd eur kmh mph""".split()
 )
 _NAME = re.compile(r"(?<=[^\W\d_])[,;]?[ \t]+([^\W\d_a-z][^\W\d_A-Z]+)")
+_CAPITAL = re.compile(r"[^\W\d_a-z][^\W\d_A-Z]+")
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -30,29 +31,79 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def template(text: str) -> tuple[list[str], list[str | None]]:
+def template(text: str, initial: bool = False) -> tuple[list[str], list[str | None]]:
     """Canonical tokens and, where a token is a placeholder, the value in its slot.
 
     Numbers (digits or number words) become ``<num>``, a unit beside a number ``<unit>``, a capitalised word inside a
-    sentence ``<name>``. Everything else is lower-cased.
+    sentence ``<name>``; with ``initial``, one that begins a sentence, line or quotation too. Everything else is lower-cased.
     """
     names = {m.start(1) for m in _NAME.finditer(text) if m.group(1)[0].isupper()}
     toks, slots = [], []
     found = [(m.start(), m.group()) for m in WORD.finditer(text)]
     low = [w.lower() for _, w in found]
     number = [w[0].isdigit() and bool(_NUMBER.fullmatch(w)) or w in NUMBER_WORDS for w in low]
-    for i, (at, _) in enumerate(found):
+    for i, (at, word) in enumerate(found):
         if number[i]:
             toks.append("<num>"), slots.append("n:" + low[i].replace(",", ""))
         elif low[i] in UNITS and (i and number[i - 1] or low[i] in "$€£" and i + 1 < len(low) and number[i + 1]):
             toks.append("<unit>"), slots.append("u:" + low[i])
-        elif at in names:
+        elif at in names or initial and word[0].isupper() and _CAPITAL.match(word):
             toks.append("<name>"), slots.append("p:" + low[i])
         else:
             toks.append(low[i]), slots.append(None)
     return toks, slots
 
 
+class Templates:
+    """Both templates of whole texts as token hashes; what a word is by itself is remembered, for a fixed number of words.
+
+    The same as :func:`template` without building its tokens: only the slots of windows that count are spelled out.
+    """
+
+    def __init__(self, size: int = 1 << 20):
+        self.known: dict[str, tuple[int, int]] = {}
+        self.size = size
+        self.num, self.unit, self.name = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
+
+    def _word(self, w: str) -> tuple[int, int]:
+        low = w.lower()
+        number = low[0].isdigit() and bool(_NUMBER.fullmatch(low)) or low in NUMBER_WORDS
+        kind = number + 2 * (low in UNITS) + 4 * (low in "$€£") + 8 * (w[0].isupper() and bool(_CAPITAL.match(w)))
+        return xxhash.xxh3_64_intdigest(low), kind
+
+    def __call__(self, text: str):
+        """(words, [(kind, token hashes, slot types)]): a slot type is 0 for none, else n, u or p as 1, 2 or 3."""
+        if len(self.known) > self.size:
+            self.known.clear()
+        known, found = self.known, WORD.findall(text)
+        for w in set(found):
+            if w not in known:
+                known[w] = self._word(w)
+        h = np.fromiter((known[w][0] for w in found), np.uint64, len(found))
+        k = np.fromiter((known[w][1] for w in found), np.uint8, len(found))
+        number = k & 1 != 0
+        beside = np.zeros(len(k), bool)
+        beside[1:] = number[:-1]
+        beside[:-1] |= (k[:-1] & 4 != 0) & number[1:]
+        typed = np.where(number, 1, np.where((k & 2 != 0) & beside, 2, 0)).astype(np.uint8)
+        capital = (k & 8 != 0) & (typed == 0)
+        inner = np.zeros(len(k), bool)
+        if capital.any():
+            starts = np.fromiter((m.start() for m in WORD.finditer(text)), np.int64, len(found))
+            names = np.fromiter((m.start(1) for m in _NAME.finditer(text) if m.group(1)[0].isupper()), np.int64)
+            inner = capital & np.isin(starts, names)
+        out = []
+        for kind, name in ((1, inner), (2, capital)):
+            t = np.where(name, np.uint8(3), typed)
+            out.append((kind, np.choose(t, (h, self.num, self.unit, self.name)), t))
+        return found, out
+
+
+def _slot(word: str, kind: int) -> str:
+    low = word.lower()
+    return ("n:" + low.replace(",", ""), "u:" + low, "p:" + low)[kind - 1]
+
+
 class Hasher:
     """64-bit hashes of windows of tokens; token hashes are remembered, up to a fixed number."""
 
@@ -70,10 +121,13 @@ class Hasher:
         for t in set(toks):
             if t not in known:
                 known[t] = xxhash.xxh3_64_intdigest(t)
-        h = np.fromiter(map(known.__getitem__, toks), np.uint64, len(toks))
-        if len(toks) < width:
-            return _mix(h, 1, len(toks)) ^ np.uint64(0x5851F42D4C957F2D)
-        return _mix(h, len(toks) - width + 1, width)
+        return _windows(np.fromiter(map(known.__getitem__, toks), np.uint64, len(toks)), width)
+
+
+def _windows(h: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    if len(h) < width:
+        return _mix(h, 1, len(h)) ^ np.uint64(0x5851F42D4C957F2D)
+    return _mix(h, len(h) - width + 1, width)
 
 
 def _mix(h: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -88,7 +142,7 @@ def _slotted(toks: list[str], slots: list[str | None], width: int = WINDOW) -> n
     """Positions of windows that hold a slot and a literal word: placeholders alone say nothing."""
     if not toks:
         return np.zeros(0, np.int64)
-    s = np.array([x is not None for x in slots])
+    s = slots != 0 if isinstance(slots, np.ndarray) else np.array([x is not None for x in slots])
     w = min(width, len(toks))
     n = np.convolve(s.astype(int), np.ones(w, int), "valid")
     return np.flatnonzero((n > 0) & (n < w))
@@ -98,13 +152,14 @@ _SHAPE = "item string, at int, kind int, h bigint, slots array<string>"
 
 
 def _windows_of(text: str, hasher: Hasher):
-    """(position, kind, hash, slot values) of a benchmark text; kind 0: literal words, 1: template."""
+    """(position, kind, hash, slot values) of a benchmark text; kind 0: literal words, 1: template, 2: template with initial names."""
     lit = hasher.windows(tokens(text))
     out = [(i, 0, int(h), []) for i, h in enumerate(lit.view(np.int64).tolist())]
-    toks, slots = template(text)
-    tpl = hasher.windows(toks)
-    for i in _slotted(toks, slots).tolist():
-        out.append((i, 1, int(tpl[i : i + 1].view(np.int64)[0]), [x for x in slots[i : i + WINDOW] if x is not None]))
+    for kind in (1, 2):
+        toks, slots = template(text, kind == 2)
+        tpl = hasher.windows(toks)
+        for i in _slotted(toks, slots).tolist():
+            out.append((i, kind, int(tpl[i : i + 1].view(np.int64)[0]), [x for x in slots[i : i + WINDOW] if x is not None]))
     return out
 
 
@@ -147,7 +202,8 @@ def contaminated(
     table of fixed size (``2 ** log2_bits``) that holds the benchmark's windows goes to the executors; only document
     windows it knows are shuffled, to be hash-joined with the benchmark exactly (64-bit hashes). Template windows
     count only if, along one alignment of document and item, every slot value of the item maps to one value in the
-    document; so re-parameterised questions are found, and chance matches of placeholders are not.
+    document; so re-parameterised questions are found, and chance matches of placeholders are not. Both sides have a second
+    template in which capitalised words that begin a sentence are names too; its slots must be consistent by themselves.
 
     Nulls, empty texts and texts without words match nothing; an item of fewer than five words is matched only by a
     document of just those words. Rows with equal keys count as one document; a null key is one document. Repeated
@@ -158,13 +214,13 @@ def contaminated(
     bits = np.zeros((1 << log2_bits) // 8, np.uint8)
     shift, mark = 64 - log2_bits, F.lit((1 << log2_bits) - 1)
     slot = F.shiftrightunsigned("h", shift).bitwiseAND(mark)
-    for r in bench.select("kind", slot.alias("s")).distinct().toLocalIterator():  # at most two per bit of the fixed table
+    for r in bench.select("kind", slot.alias("s")).distinct().toLocalIterator():  # at most three per bit of the fixed table
         bits[r.s >> 3] |= 1 << (r.s & 7)
-    templates = bench.where("kind = 1").limit(1).count() > 0
+    templates = bench.where("kind > 0").limit(1).count() > 0
     table = spark.sparkContext.broadcast(bits)
 
     def run(batches):
-        known, hasher = table.value, Hasher()
+        known, hasher, typer = table.value, Hasher(), Templates()
 
         def hit(h):
             s = (h >> np.uint64(shift)).astype(np.int64)
@@ -179,12 +235,13 @@ def contaminated(
                 lit = hasher.windows(tokens(t))
                 q = np.flatnonzero(hit(lit))
                 found = [(p, 0, h, []) for p, h in zip(q.tolist(), lit[q].view(np.int64).tolist(), strict=True)]
-                if templates:
-                    toks, slots = template(t)
-                    at = _slotted(toks, slots)
-                    tpl = hasher.windows(toks)[at]
+                words, both = typer(t) if templates else ([], [])
+                for kind, th, typed in both if words else ():
+                    at = _slotted(words, typed)
+                    tpl = _windows(th)[at]
                     yes = hit(tpl)
-                    found += [(p, 1, h, [x for x in slots[p : p + WINDOW] if x is not None]) for p, h in zip(at[yes].tolist(), tpl[yes].view(np.int64).tolist(), strict=True)]
+                    for p, h in zip(at[yes].tolist(), tpl[yes].view(np.int64).tolist(), strict=True):
+                        found.append((p, kind, h, [_slot(w, x) for w, x in zip(words[p : p + WINDOW], typed[p : p + WINDOW].tolist()) if x]))
                 for r in found:
                     for c, v in zip(cols, (i.as_py(), *r), strict=True):
                         c.append(v)
@@ -197,15 +254,15 @@ def contaminated(
     literal = met.where("kind = 0").select("doc", "item", "at", "n", F.lit(0).alias("kind"))
     found = literal
     if templates:
-        tpl = met.where("kind = 1").withColumn("way", F.col("pos") - F.col("at"))
-        slot_pairs = tpl.select("doc", "item", "way", F.explode(F.arrays_zip(F.col("slots").alias("mine"), F.col("vals").alias("theirs"))).alias("p"))
+        tpl = met.where("kind > 0").withColumn("way", F.col("pos") - F.col("at"))
+        slot_pairs = tpl.select("doc", "item", "kind", "way", F.explode(F.arrays_zip(F.col("slots").alias("mine"), F.col("vals").alias("theirs"))).alias("p"))
         odd = (
-            slot_pairs.select("doc", "item", "way", "p.mine", "p.theirs").distinct()
-            .groupBy("doc", "item", "way").agg(F.count("*").alias("pairs"), F.count_distinct("mine").alias("values"))
+            slot_pairs.select("doc", "item", "kind", "way", "p.mine", "p.theirs").distinct()
+            .groupBy("doc", "item", "kind", "way").agg(F.count("*").alias("pairs"), F.count_distinct("mine").alias("values"))
         )
-        good = odd.where("pairs = values").select(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("way").alias("w"))
-        kept = tpl.join(good, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("way") == F.col("w")), "left_semi")
-        found = literal.union(kept.select("doc", "item", "at", "n", F.lit(1).alias("kind")))
+        good = odd.where("pairs = values").select(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("kind").alias("k"), F.col("way").alias("w"))
+        kept = tpl.join(good, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("kind") == F.col("k")) & (F.col("way") == F.col("w")), "left_semi")
+        found = literal.union(kept.select("doc", "item", "at", "n", "kind"))
     per_window = found.groupBy("doc", "item", "at").agg(F.max("n").alias("n"), F.min("kind").alias("kind"))
     out = per_window.groupBy("doc", "item").agg(
         F.max("n").cast("long").alias("n_windows"), F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("n_literal"), F.count("*").alias("n_matched")

@@ -331,6 +331,18 @@ def test_reparameterised(spark):
     assert broken
 
 
+def test_decontamination_finds_exchanged_names_at_sentence_starts(spark):
+    tom = "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
+    maria = "Maria keeps 12 hens near the river. Maria sells 5 eggs to every guest. Maria then walks home with 7 coins. How many coins did the guests of the farm pay?"
+    items = spark.createDataFrame([(1, tom), (2, maria)], "item_id long, text string")
+    swap = lambda t, a, b: t.replace(a, b).replace("3", "8").replace("12", "30").replace("5", "6")
+    mixed = swap(tom, "Tom", "Bob").replace("does Bob", "does Jack")  # one name, two values
+    docs = [(1, swap(tom, "Tom", "Bob")), (2, "Some prose before it. " + swap(maria, "Maria", "Sophie") + " And after."), (3, "Nothing of the kind. Tom has left."), (4, mixed)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(df, items).collect()}
+    assert got == {(1, 1): "template", (2, 2): "template"}
+
+
 # licences ------------------------------------------------------------------------------------------------------------
 
 
