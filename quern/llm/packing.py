@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import zlib
@@ -116,72 +117,66 @@ class Bins:
     count: int
 
 
-def plan(counts: dict[int, int], capacity: int = 2048, groups: int = 48, small: float = 1 / 4) -> list[Bins]:
+def plan(counts: dict[int, int], capacity: int = 2048, groups: int = 192, small: float = 0.35, gap: float = 1 / 16) -> list[Bins]:
     """Pack a histogram of lengths (1 to ``capacity``) into as few sequences as it can; every piece is placed.
 
-    1. Lengths over ``small * capacity`` are large. In descending order they are cut into ``groups`` groups of equal
-       cardinality, and each is rounded up to its group's largest.
-    2. The fractional configuration problem over these few sizes is solved by column generation (knapsack pricing); its
-       integer part is taken, the rest is filled by further knapsack configurations.
-    3. Actual pieces, with their actual lengths, take the places of their group.
-    4. Small pieces go best-fit, the longest first, into what room is left, then into new sequences.
-    5. Sequences (all, or those that rounding left with room) are opened and packed best-fit again where that saves any.
+    1. Lengths over ``small * capacity`` are large. In descending order they are cut into groups of equal cardinality
+       (``groups`` of them, or twice the root of their number if that is less), and each is rounded up to its group's largest.
+    2. The fractional configuration problem over these few sizes is solved by column generation. The small pieces count
+       as a fluid that must find room too: in what a configuration leaves over, if that is at least ``gap * capacity``,
+       or in sequences of its own. So large pieces are not packed so tightly that the room left fits nothing.
+    3. The integer part of the solution is taken. Actual pieces, with their actual lengths, take the places of their
+       group, the longest ones together; a configuration's sequences keep these pieces to the end.
+    4. Small pieces, and those few large ones that the integer part leaves (fewer than configurations), go best-fit, the
+       longest first, into what room is left, then into new sequences.
 
     All work is on runs of equal pieces: it depends on ``capacity`` and ``groups``, not on the number of pieces.
     """
+    bins, rest = configured(counts, capacity, groups, small, gap)
+    return _best_fit(bins, rest, capacity)
+
+
+def configured(counts: dict[int, int], capacity: int, groups: int, small: float, gap: float) -> tuple[list[Bins], dict[int, int]]:
+    """Steps 1 to 3 of :func:`plan`: sequences of large pieces, and the histogram of the pieces that have no place yet."""
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("a length is outside 1 to capacity")
-    counts = {n: c for n, c in counts.items() if c}
-    bins = [Bins((capacity,), counts[capacity])] if counts.get(capacity) else []
-    large = sorted((n for n in counts if small * capacity < n < capacity), reverse=True)
-    total = sum(counts[n] for n in large)
-    runs: list[list[list[int]]] = []  # of each group: [length, count], descending
-    if total:
-        cuts = [total * (k + 1) // groups for k in range(groups)]
-        seen, g = 0, [[]]
-        for n in large:
-            left = counts[n]
-            while left:
-                while cuts and seen >= cuts[0]:
-                    cuts.pop(0)
-                    if g[-1]:
-                        g.append([])
-                take = min(left, cuts[0] - seen)
-                g[-1].append([n, take])
-                left, seen = left - take, seen + take
-        for x in g:
-            if x and runs and runs[-1][0][0] == x[0][0]:
-                runs[-1].extend(x)
-            elif x:
-                runs.append(x)
-    sizes = [r[0][0] for r in runs]
-    need = [sum(c for _, c in r) for r in runs]
-    for pattern, times in _configurations(sizes, need, capacity):
+    rest = {n: c for n, c in counts.items() if c}
+    bins = [Bins((capacity,), rest.pop(capacity))] if capacity in rest else []
+    runs = _groups({n: c for n, c in rest.items() if n > small * capacity}, groups)
+    fluid = sum(n * c for n, c in rest.items() if n <= small * capacity)
+    for pattern, times in _configurations([r[0][0] for r in runs], [sum(c for _, c in r) for r in runs], fluid, capacity, int(gap * capacity)):
         slots = [_take(runs[i], times) for i, a in enumerate(pattern) for _ in range(a)]
         while times:
             step = min(s[0][1] for s in slots)
             bins.append(Bins(tuple(s[0][0] for s in slots), step))
             for s in slots:
+                rest[s[0][0]] -= step
                 s[0][1] -= step
                 if not s[0][1]:
                     s.pop(0)
             times -= step
-    bins = _best_fit(bins, {n: c for n, c in counts.items() if n <= small * capacity and n < capacity}, capacity)
-    return _repack(bins, capacity)
-
-
-def _repack(bins: list[Bins], capacity: int) -> list[Bins]:
-    """All sequences, or those with most room left, are opened and packed best-fit again, if that saves any."""
-    for part in (-1.0, 0.0, 0.01, 0.03, 0.1):
-        loose = [b for b in bins if capacity - sum(b.lengths) > part * capacity]
-        tally: dict[int, int] = {}
-        for b in loose:
-            for n in b.lengths:
-                tally[n] = tally.get(n, 0) + b.count
-        again = _best_fit([], tally, capacity)
-        if sum(b.count for b in again) < sum(b.count for b in loose):
-            bins = [b for b in bins if capacity - sum(b.lengths) <= part * capacity] + again
-    return bins
+    return bins, {n: c for n, c in rest.items() if c}
+
+
+def _groups(large: dict[int, int], groups: int) -> list[list[list[int]]]:
+    """Groups of equal cardinality, as runs ``[length, count]`` in descending order; those with one largest length are one."""
+    total = sum(large.values())
+    k = max(1, min(groups, 2 * math.isqrt(total)))
+    cuts = [total * (i + 1) // k for i in range(k)]
+    runs: list[list[list[int]]] = []
+    seen, at, new = 0, 0, True
+    for n in sorted(large, reverse=True):
+        left = large[n]
+        while left:
+            if seen == cuts[at]:
+                at, new = at + 1, True
+            take = min(left, cuts[at] - seen)
+            if new and not (runs and runs[-1][0][0] == n):
+                runs.append([])
+            new = False
+            runs[-1].append([n, take])
+            left, seen = left - take, seen + take
+    return runs
 
 
 def _take(run: list[list[int]], n: int) -> list[list[int]]:
@@ -196,80 +191,77 @@ def _take(run: list[list[int]], n: int) -> list[list[int]]:
     return out
 
 
-def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
-    """Counts per size (descending sizes) of the best filling of one sequence; ``most`` bounds them."""
-    if most is None:
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            ok = np.searchsorted(-sizes, -c)
-            v = best[c - sizes[ok:]] + value[ok:]
-            j = int(np.argmax(v))
-            if v[j] > best[c - 1] + 1e-12:
-                best[c], pick[c] = v[j], ok + j
-            else:
-                best[c] = best[c - 1]
-        out, c = np.zeros(len(sizes), np.int64), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-                continue
-            out[pick[c]] += 1
-            c -= sizes[pick[c]]
-        return out
-    # subset sums with bounded counts, the largest size first: fill one sequence as full as possible
-    first = int(np.flatnonzero(most)[0])
-    out = np.zeros(len(sizes), np.int64)
-    out[first] = 1
-    room = capacity - int(sizes[first])
-    reach = np.full(room + 1, -1)
-    reach[0] = len(sizes)
-    used = np.zeros(room + 1, np.int64)
-    for j in range(first, len(sizes)):
-        s, k = int(sizes[j]), int(most[j]) - (j == first)
-        if k <= 0 or s > room:
-            continue
-        used[:] = 0
-        for c in range(s, room + 1):
-            if reach[c] < 0 and reach[c - s] >= 0 and used[c - s] < k:
-                reach[c], used[c] = j, used[c - s] + 1
-    c = int(np.flatnonzero(reach >= 0)[-1])
+def _fill(sizes: np.ndarray, value: np.ndarray, fluid: float, capacity: int, gap: int) -> np.ndarray:
+    """The configuration of most value, as counts per size (descending sizes) and its room for small pieces in sequences.
+
+    ``value`` is that of one piece of each size, ``fluid`` that of a sequence of room; room of under ``gap`` is worth nothing.
+    """
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes.min()), capacity + 1):
+        ok = np.searchsorted(-sizes, -c)
+        v = best[c - sizes[ok:]] + value[ok:]
+        j = int(np.argmax(v))
+        if v[j] > best[c - 1] + 1e-12:
+            best[c], pick[c] = v[j], ok + j
+        else:
+            best[c] = best[c - 1]
+    free = capacity - np.arange(capacity + 1)
+    c = int(np.argmax(best + np.where(free >= gap, fluid * free / capacity, 0)))
+    out = np.zeros(len(sizes) + 1)
     while c > 0:
-        out[reach[c]] += 1
-        c -= int(sizes[reach[c]])
+        if pick[c] < 0:
+            c -= 1
+            continue
+        out[pick[c]] += 1
+        c -= sizes[pick[c]]
+    out[-1] = _room(out[:-1], sizes, capacity, gap)
     return out
 
 
-def _configurations(sizes: list[int], need: list[int], capacity: int, most_columns: int = 2000):
-    """(counts per size, times) that use up exactly ``need``."""
+def _room(counts: np.ndarray, sizes: np.ndarray, capacity: int, gap: int) -> float:
+    free = capacity - int(counts @ sizes)
+    return free / capacity if free >= gap else 0.0
+
+
+def _configurations(sizes: list[int], need: list[int], fluid: int, capacity: int, gap: int, most_columns: int = 2000):
+    """(counts per size, times): the integer part of the best fractional configurations for ``need`` and the fluid."""
     if not sizes:
         return []
-    s, d = np.array(sizes), np.array(need, float)
-    n = len(s)
-    base = np.diag(capacity // s).astype(float)  # columns: configurations
+    s, n = np.array(sizes), len(sizes)
+    d = np.array([*need, fluid / capacity], float)
+    # columns: one size as often as it fits, and a sequence of fluid alone (or, if the room left exceeds it, the surplus)
+    base, cost = np.zeros((n + 1, n + 1)), np.ones(n + 1)
+    for i, k in enumerate(capacity // s):
+        base[i, i] = k
+        base[n, i] = _room(base[:n, i], s, capacity, gap)
+    base[n, n] = 1
+    surplus = np.zeros(n + 1)
+    surplus[n] = -1
+    if np.linalg.solve(base, d)[n] < 0:
+        base[:, n], cost[n] = surplus, 0
     for _ in range(most_columns):
-        y = np.linalg.solve(base.T, np.ones(n))
-        a = _knapsack(s, np.maximum(y, 0), capacity).astype(float)
-        if y @ a <= 1 + 1e-6:
-            break
+        y = np.linalg.solve(base.T, cost)
+        if y[n] < -1e-9:
+            a, price = surplus, 0
+        else:
+            a, price = _fill(s, np.maximum(y[:n], 0), max(y[n], 0), capacity, gap), 1
+            if y @ a <= 1 + 1e-6:
+                break
         x, move = np.linalg.solve(base, d), np.linalg.solve(base, a)
         ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
-        base[:, int(np.argmin(ratio))] = a
+        out = int(np.argmin(ratio))
+        base[:, out], cost[out] = a, price
     x = np.linalg.solve(base, d)
-    out, rest = [], np.array(need, np.int64)
-    for j in np.argsort(-x):
-        a = np.rint(base[:, j]).astype(np.int64)
+    found, rest = [], np.array(need, np.int64)
+    for j in np.argsort(-x, kind="stable"):
+        a = np.rint(base[:n, j]).astype(np.int64)
         used = a > 0
-        times = int(min(np.floor(x[j] + 1e-6), (rest[used] // a[used]).min()))
-        if times > 0:
-            out.append((a, times))
-            rest -= times * a
-    while rest.any():
-        a = _knapsack(s, None, capacity, rest)
-        used = a > 0
-        times = int((rest[used] // a[used]).min())
-        out.append((a, times))
-        rest -= times * a
-    return out
+        if cost[j] and used.any():
+            times = int(min(np.floor(x[j] + 1e-6), (rest[used] // a[used]).min()))
+            if times > 0:
+                found.append((a, times))
+                rest -= times * a
+    return found
 
 
 def _best_fit(bins: list[Bins], small: dict[int, int], capacity: int) -> list[Bins]:
@@ -326,7 +318,7 @@ def places(bins: list[Bins]) -> tuple[np.ndarray, ...]:
     return (n << 44) + first, first, start, at
 
 
-def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0, groups: int = 48) -> DataFrame:
+def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0, groups: int = 192) -> DataFrame:
     """Where every piece of every document goes: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset``.
 
