@@ -131,6 +131,27 @@ def test_line_dedup(odd, odd_rows, docs, spark, none, bits):
     assert linededup.dedup_lines(none, log2_bits=bits).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name_and_takes_any_key(spark, sf_dir):
+    import corpus_pipeline
+
+    line, other = "a line that several documents hold", "the footer of a number of pages"
+    texts = [(1, f"x\n{line}\ny"), (2, f"{line.upper()}  \n{other}"), (3, line), (None, f"{other}\n\n{line}"), (4, other), (5, None), (5, "alone"), (3, line)]
+    texts.append((6, "\n".join(f"{line}\nrow {i}" for i in range(20_000))))
+    names = ["__th", "__doc", "__len", "__drop", "doc", "th", "len", "drop", "body", "c0", "mark"]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    want = brute_lines(texts)
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "__kept", "__lines", "__dropped"]
+    assert Counter(rows(out.select("doc_id", "__lines", "__dropped", "__kept"))) == want
+    assert {tuple(r) for r in out.select(*names).collect()} == {tuple(range(len(names)))}
+    named = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = linededup.dedup_lines(named).select(F.substring("doc_id", 2, 9).cast("long"), "__lines", "__dropped", "__kept")
+    assert Counter(rows(got)) == want
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, df, sf_dir)
+        assert left.columns == df.columns and {tuple(r) for r in left.select(*names).collect()} == {tuple(range(len(names)))}, name
+
+
 def test_twice_filter_has_no_false_negatives():
     a, b = linededup._Pair(16), linededup._Pair(16)
     keys = [f"key {i} of some length" for i in range(2000)]
