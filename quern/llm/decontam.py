@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import forget, settle
 
@@ -164,6 +165,11 @@ def _windows_of(text: str, hasher: Hasher):
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``item``, ``at``, ``kind``, ``h``, ``slots`` and ``n`` (literal windows of the item) of every window of every item.
+
+    Null, empty and wordless texts give no window, fewer than five words one window of their own kind; very long texts
+    are cut whole; repeated items give their windows again; an empty table gives none.
+    """
     kind = items.schema[item].dataType.simpleString()
 
     def run(batches):
@@ -200,9 +206,10 @@ def contaminated(
 
     Both sides are cut into windows of five words, numbers, names and units also replaced by typed placeholders. A bit
     table of fixed size (``2 ** log2_bits``) that holds the benchmark's windows goes to the executors; only document
-    windows it knows are shuffled, to be hash-joined with the benchmark exactly (64-bit hashes). Template windows
-    count only if, along one alignment of document and item, every slot value of the item maps to one value in the
-    document; so re-parameterised questions are found, and chance matches of placeholders are not. Both sides have a second
+    windows it knows are shuffled, to be hash-joined with the benchmark exactly (64-bit hashes), first those that few
+    items share. Template windows
+    count only if, along one alignment of document and item, every name and unit of the item maps to one in the
+    document, and so does every number but one (two quantities of an item may be equal by chance); so re-parameterised questions are found, and chance matches of placeholders are not. Both sides have a second
     template in which capitalised words that begin a sentence are names too; its slots must be consistent by themselves.
 
     Nulls, empty texts and texts without words match nothing; an item of fewer than five words is matched only by a
@@ -234,6 +241,7 @@ def contaminated(
                     continue
                 lit = hasher.windows(tokens(t))
                 q = np.flatnonzero(hit(lit))
+                q = q[np.unique(lit[q], return_index=True)[1]]  # where a literal window stands does not matter
                 found = [(p, 0, h, []) for p, h in zip(q.tolist(), lit[q].view(np.int64).tolist(), strict=True)]
                 words, both = typer(t) if templates else ([], [])
                 for kind, th, typed in both if words else ():
@@ -250,17 +258,20 @@ def contaminated(
 
     kind = df.schema[key].dataType.simpleString()
     hits = settle(df.select(key, text).mapInArrow(run, f"doc {kind}, pos int, kind int, h bigint, vals array<string>"))
-    met = hits.join(bench, ["h", "kind"])
+    pairs = settle(_candidates(hits, bench, least))
+    of_pair = hits.join(pairs.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).drop("d")
+    mine = bench.withColumnRenamed("item", "i").withColumnRenamed("h", "g").withColumnRenamed("kind", "k")
+    met = of_pair.join(mine, F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("kind") == F.col("k"))).drop("i", "g", "k")
     literal = met.where("kind = 0").select("doc", "item", "at", "n", F.lit(0).alias("kind"))
     found = literal
     if templates:
         tpl = met.where("kind > 0").withColumn("way", F.col("pos") - F.col("at"))
         slot_pairs = tpl.select("doc", "item", "kind", "way", F.explode(F.arrays_zip(F.col("slots").alias("mine"), F.col("vals").alias("theirs"))).alias("p"))
-        odd = (
-            slot_pairs.select("doc", "item", "kind", "way", "p.mine", "p.theirs").distinct()
-            .groupBy("doc", "item", "kind", "way").agg(F.count("*").alias("pairs"), F.count_distinct("mine").alias("values"))
-        )
-        good = odd.where("pairs = values").select(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("kind").alias("k"), F.col("way").alias("w"))
+        each = slot_pairs.select("doc", "item", "kind", "way", "p.mine", "p.theirs").distinct().groupBy("doc", "item", "kind", "way", "mine").agg(F.count("*").alias("values"))
+        torn = F.when(F.col("values") > 1, 1).otherwise(0)
+        number = F.startswith(F.col("mine"), F.lit("n:"))
+        odd = each.groupBy("doc", "item", "kind", "way").agg(F.sum(F.when(number, torn).otherwise(0)).alias("numbers"), F.sum(F.when(number, 0).otherwise(torn)).alias("others"))
+        good = odd.where("others = 0 and numbers <= 1").select(F.col("doc").alias("d"), F.col("item").alias("i"), F.col("kind").alias("k"), F.col("way").alias("w"))
         kept = tpl.join(good, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("kind") == F.col("k")) & (F.col("way") == F.col("w")), "left_semi")
         found = literal.union(kept.select("doc", "item", "at", "n", "kind"))
     per_window = found.groupBy("doc", "item", "at").agg(F.max("n").alias("n"), F.min("kind").alias("kind"))
@@ -268,7 +279,7 @@ def contaminated(
         F.max("n").cast("long").alias("n_windows"), F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("n_literal"), F.count("*").alias("n_matched")
     )
     out = out.where(F.col("n_matched") >= F.lit(least) * F.col("n_windows"))
-    return out.select(
+    out = out.select(
         F.col("doc").alias(key),
         F.col("item").alias(item),
         "n_windows",
@@ -277,3 +288,22 @@ def contaminated(
         (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
         F.when(F.col("n_literal") >= F.lit(least) * F.col("n_windows"), "literal").otherwise("template").alias("kind"),
     )
+    out = settle(out)
+    for used in (hits, bench, pairs):
+        forget(used)
+    return out
+
+
+def _candidates(hits: DataFrame, bench: DataFrame, least: float) -> DataFrame:
+    """``doc``, ``item``: pairs that share one of the item's rarest windows, so many that no pair can reach ``least`` without.
+
+    A pair that holds ``least`` of an item's n windows misses fewer than ``n - ceil(least * n) + 1``. Rare are windows
+    that few items hold; so windows that many items and documents share meet in no join.
+    """
+    shared = bench.groupBy("h", "kind").agg(F.count_distinct("item").alias("items"))
+    place = bench.join(shared, ["h", "kind"]).groupBy("item", "at").agg(F.max("items").alias("items"), F.max("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "at"))
+    rare = place.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    rare = rare.select(F.col("item").alias("i"), F.col("at").alias("a"))
+    keys = bench.join(rare, F.col("item").eqNullSafe(F.col("i")) & (F.col("at") == F.col("a"))).select("h", "kind", "item").distinct()
+    return hits.select("doc", "h", "kind").distinct().join(keys, ["h", "kind"]).select("doc", "item").distinct()

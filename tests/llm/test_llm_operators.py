@@ -364,6 +364,59 @@ def test_decontamination_finds_exchanged_names_at_sentence_starts(spark):
     assert got == {(1, 1): "template", (2, 2): "template"}
 
 
+def brute_contaminated(doc, item, least=0.8):
+    """'literal', 'template' or None for one document and item, window by window."""
+    n_of = lambda toks: range(max(1, len(toks) - 4)) if toks else range(0)
+    lit, mine = decontam.tokens(doc), decontam.tokens(item)
+    cut = lambda toks, i: tuple(toks[i : i + 5])
+    held = {cut(lit, i) for i in n_of(lit)}
+    literal = {i for i in n_of(mine) if cut(mine, i) in held}
+    good = set(literal)
+    for initial in (False, True):
+        (dt, ds), (it, its) = decontam.template(doc, initial), decontam.template(item, initial)
+        slotted = lambda sl, i: 0 < sum(x is not None for x in sl[i : i + 5]) < len(sl[i : i + 5])
+        ways = defaultdict(list)
+        for i in n_of(it):
+            for p in n_of(dt):
+                if slotted(its, i) and cut(it, i) == cut(dt, p):
+                    ways[p - i].append((i, p))
+        for hits in ways.values():
+            value = defaultdict(set)
+            for i, p in hits:
+                for a, b in zip(its[i : i + 5], ds[p : p + 5], strict=True):
+                    if a is not None:
+                        value[a].add(b)
+            torn = [a for a, v in value.items() if len(v) > 1]
+            if len(torn) <= 1 and all(a.startswith("n:") for a in torn):
+                good |= {i for i, _ in hits}
+    n = len(n_of(mine))
+    return None if not n or len(good) < least * n else "literal" if len(literal) >= least * n else "template"
+
+
+def test_templates_by_brute_force_and_recall(spark):
+    """Questions with other names, numbers and units are found wherever these stand; clean texts are left alone."""
+    rng = random.Random(5)
+    names = "Anna Bert Carla David Emma Frank Greta Hugo Irene Jonas Mr. Mrs.".split()
+    forms = [
+        "{a} has {n} apples. {a} buys {m} more. How many apples does {a} have after {k} {u}?", "A train from the north runs {n} {v} in {m} {u}. How far does it run in {k} {u} at that speed?",
+        "Mr. {a} sold {n} tickets and {b} sold {m} tickets. {b} kept {k} of them. How many tickets did Mr. {a} and {b} sell together?", "If {a} walks {n} {v} in {m} {u} and then rests for {k} {u}, how far does {a} walk in all?",
+        "{a} and {b} share {n} marbles. {a} gets {m} marbles more than {b}. How many marbles does each of them get?", "In a shop {a} pays {n} dollars for {m} pens, while {b} pays {k} dollars. Who pays less for a pen?",
+    ]
+
+    def fill(form):
+        a, b = rng.sample(names[:10], 2)
+        return form.format(a=a, b=b, n=rng.randrange(2, 99), m=rng.randrange(2, 99), k=rng.randrange(2, 99), u=rng.choice(["minutes", "hours"]), v=rng.choice(["km", "miles"]))
+
+    items = [(i, fill(f)) for i, f in enumerate(forms)]
+    clean = "The committee met on Monday and {a} spoke about {n} roads. Then {b} walked {m} {v} home. It took {k} {u}."
+    texts = [(i, "Some words before. " * rng.randrange(3) + fill(forms[i % 6]) + " And after.", i % 6) for i in range(60)] + [(100 + i, fill(clean), None) for i in range(20)]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): k for d, t, _ in texts for i, x in items if (k := brute_contaminated(t, x))}
+    assert got == want
+    assert sum((d, i) in got for d, _, i in texts[:60]) >= 54 and not [k for k in got if k[0] >= 100]
+
+
 # licences ------------------------------------------------------------------------------------------------------------
 
 
