@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -30,6 +31,11 @@ MAGIC = {
 }
 
 
+_MARKER = re.compile(rb"\xff(?![\x00\xd0-\xd7])(?=.)", re.DOTALL)  # what ends entropy-coded data
+_PDF = re.compile(rb"%PDF-|%%EOF| obj|startxref")
+_ZIP_END = re.compile(rb"PK\x05\x06")
+
+
 def _png(b: memoryview, at: int) -> int:
     p = at + 8
     first = True
@@ -64,13 +70,10 @@ def _jpeg(b: memoryview, at: int) -> int:
             p += 2 + n
             if m == 0xDA:  # entropy-coded data up to the next real marker
                 scan = True
-                raw = bytes(b[p:])
-                q = 0
-                while (q := raw.find(b"\xff", q)) >= 0 and q + 1 < len(raw) and (raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7):
-                    q += 2
-                if q < 0 or q + 1 >= len(raw):
+                m = _MARKER.search(b, p)
+                if not m:
                     return 0
-                p += q
+                p = m.start()
     return p + 2 - at if scan and p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] == 0xD9 else 0
 
 
@@ -140,24 +143,30 @@ def _bmp(b: memoryview, at: int) -> int:
 
 
 def _pdf(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    nxt = raw.find(b"%PDF-", 5)
-    last = raw.rfind(b"%%EOF", 0, nxt if nxt > 0 else len(raw))
-    if end < 0 or last < 0 or b" obj" not in raw[: last] or b"startxref" not in raw[:last]:
-        return 0
-    return last + 5
-
-
-def _zip(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    q = 0
-    while (q := raw.find(b"PK\x05\x06", q)) >= 0 and q + 22 <= len(raw):
-        n, size, start, comment = struct.unpack_from("<HIIH", raw, q + 10)
-        if start + size == q and raw[start : start + 4] == (b"PK\x01\x02" if n else b"PK\x05\x06") and q + 22 + comment <= len(raw):
-            return q + 22 + comment
-        q += 4
-    return 0
+    """Up to the last end mark before the next PDF's head."""
+    last, obj, start = 0, False, False
+    for m in _PDF.finditer(b, at + 5):
+        word = m.group()
+        if word == b"%PDF-":
+            break
+        obj, start = obj or word == b" obj", start or word == b"startxref"
+        if word == b"%%EOF" and obj and start:
+            last = m.end()
+    return last - at if last else 0
+
+
+def _archives(b: memoryview) -> dict[int, int]:
+    """Begin and length of every ZIP archive: an end record says where its directory is, which lies right before it."""
+    out: dict[int, int] = {}
+    for m in _ZIP_END.finditer(b):
+        q = m.start()
+        if q + 22 > len(b):
+            break
+        n, size, start, comment = struct.unpack_from("<HIIH", b, q + 10)
+        at, directory = q - size - start, q - size
+        if at >= 0 and q + 22 + comment <= len(b) and (not n or b[directory : directory + 4] == b"PK\x01\x02"):
+            out.setdefault(at, q + 22 + comment - at)
+    return out
 
 
 def _gzip(b: memoryview, at: int) -> int:
@@ -177,7 +186,37 @@ def _gzip(b: memoryview, at: int) -> int:
     return p - len(d.unused_data) - at if d.eof else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        c = x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1) ^ (poly if c >> (bits - 1) & 1 else 0)
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_head(b: memoryview, p: int) -> int:
+    """Length of the frame header at ``p`` if its code and its CRC-8 are right, else 0."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1 or not b[p + 2] >> 4 or b[p + 2] & 15 == 15 or b[p + 3] >> 4 > 10 or b[p + 3] >> 1 & 7 in (3, 7):
+        return 0
+    lead = b[p + 4]
+    more = 0 if lead < 0x80 else next((k for k in range(1, 7) if lead >> (6 - k) & 1 == 0), 7) if lead >= 0xC0 else 7
+    n = 5 + more + {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    if more == 7 or p + n >= len(b):
+        return 0
+    crc = 0
+    for x in b[p : p + n]:
+        crc = _CRC8[crc ^ x]
+    return n + 1 if crc == b[p + n] else 0
+
+
 def _flac(b: memoryview, at: int) -> int:
+    """Metadata blocks, then frames: each begins with a header of right CRC-8 and ends where its CRC-16 is right and the next
+    header, or no FLAC, follows. The stream's end is the end of its last whole frame."""
     p, first = at + 4, True
     while p + 4 <= len(b):
         kind, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
@@ -185,13 +224,57 @@ def _flac(b: memoryview, at: int) -> int:
             return 0
         p, first = p + 4 + n, False
         if kind & 128:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else 0
-    return 0
-
-
-def _ogg(b: memoryview, at: int) -> int:
+            break
+    else:
+        return 0
+    total = int.from_bytes(b[at + 8 + 13 : at + 8 + 18], "big") & ((1 << 36) - 1)
+    most = int.from_bytes(b[at + 15 : at + 18], "big") or 1 << 24  # bytes of the largest frame, if the stream says it
+    least = int.from_bytes(b[at + 12 : at + 15], "big")
+    end, seen = 0, 0
+    while head := _flac_head(b, p):
+        block = _flac_block(b, p)
+        size = _flac_frame(b, p, head, least, most, not total or seen + block >= total)
+        if not size:
+            break
+        p, seen = p + size, seen + block
+        end = p
+        if total and seen >= total:
+            break
+    return end - at if end and (not total or seen >= total) else 0
+
+
+def _flac_block(b: memoryview, p: int) -> int:
+    code = b[p + 2] >> 4
+    if code == 1:
+        return 192
+    if 2 <= code <= 5:
+        return 576 << (code - 2)
+    if code >= 8:
+        return 256 << (code - 8)
+    lead = b[p + 4]
+    q = p + 5 + (0 if lead < 0x80 else next(k for k in range(1, 7) if lead >> (6 - k) & 1 == 0))
+    return (b[q] if code == 6 else b[q] << 8 | b[q + 1]) + 1
+
+
+def _flac_frame(b: memoryview, p: int, head: int, least: int, most: int, last: bool) -> int:
+    """Bytes of the frame at ``p``: up to where the CRC-16 of all before it is right and a frame header follows. The last
+    frame may also end with the data, or else where the CRC-16 is right first."""
+    crc, first = 0, 0
+    for x in b[p : p + head]:
+        crc = (crc << 8 & 0xFF00) ^ _CRC16[crc >> 8 ^ x]
+    for q in range(p + head, min(len(b), p + most) - 1):
+        if crc == b[q] << 8 | b[q + 1] and q + 2 - p >= max(least, head + 3):
+            if q + 2 == len(b) and last or _flac_head(b, q + 2):
+                return q + 2 - p
+            first = first or q + 2 - p
+        crc = (crc << 8 & 0xFF00) ^ _CRC16[crc >> 8 ^ b[q]]
+    return first if last else 0
+
+
+def _ogg(b: memoryview, at: int, pages: set[int]) -> int:
+    """Pages up to the last one that closes a stream. ``pages``: offsets of pages already walked, which begin no file."""
     p, closed = at, 0
-    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0:
+    while at not in pages and p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
         n = b[p + 26]
         if p + 27 + n > len(b):
             break
@@ -199,6 +282,7 @@ def _ogg(b: memoryview, at: int) -> int:
         if end > len(b):
             break
         closed = end - at if b[p + 5] & 4 else closed
+        pages.add(end)
         p = end
     return closed
 
@@ -253,7 +337,7 @@ def _tiff(b: memoryview, at: int) -> int:
 
 VALIDATE = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "application/pdf": _pdf,
-    "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "application/ogg": _ogg, "video/mp4": _mp4, "image/tiff": _tiff,
+    "application/gzip": _gzip, "audio/flac": _flac, "video/mp4": _mp4, "image/tiff": _tiff,
 }
 
 
@@ -279,23 +363,27 @@ def sniff(data: bytes | None) -> list[Part]:
     """Every file whose magic bytes Aho-Corasick finds and whose structure its format's validator confirms.
 
     Files inside a confirmed file are reported too (a carrier's samples may hold another file); false magic bytes are
-    not. Null and empty data give an empty list.
+    not. Null and empty data give an empty list. The work is linear in the data, but for files within files.
     """
     global _FIND
     if not data:
         return []
     _FIND = _FIND or _automaton()
     view = memoryview(data)
-    found = []
+    found: list[Part] = []
+    archives, pages = None, set()
     for at, (kind, back) in _FIND.iter(data.decode("latin-1")):
         start = at - back
         if start < 0:
             continue
         if kind == "riff":
             kind, length = _riff(view, start)
+        elif kind == "application/zip":  # every entry has the magic bytes: one pass finds all archives
+            archives = _archives(view) if archives is None else archives
+            length = archives.get(start, 0)
         else:
             try:
-                length = VALIDATE[kind](view, start)
+                length = _ogg(view, start, pages) if kind == "application/ogg" else VALIDATE[kind](view, start)
             except (struct.error, IndexError):
                 length = 0
         if length:
@@ -307,7 +395,10 @@ def sniff_media(df: DataFrame, content: str = "content", declared: str | None =
     """Per row: ``key``, ``declared``, ``detected`` type, ``corrected`` (declared and detected differ), ``valid_bytes``
     of the outer file and ``carved`` files: ``array<struct<kind, offset, length, bytes>>`` that lie inside or after it.
 
-    ``detected`` is the confirmed file at offset 0, else ``application/octet-stream``. Null content: null type, no parts.
+    ``detected`` is the confirmed file at offset 0, else ``application/octet-stream``. Null content: null type, no parts;
+    empty content: octet-stream, no parts. Content is read whole, however long (one file in memory at a time). Of two
+    files at one offset the longer, then the alphabetically first type, is the outer one. Repeated rows get equal values,
+    other columns are not read, an empty table gives no rows.
     """
     kind = df.schema[key].dataType.simpleString()
 

@@ -65,6 +65,23 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\1\2" * 2)) + chunk(b"IEND", b"")
 
 
+def flac_file(bodies, total=None):
+    def crc(data, poly, bits):
+        c = 0
+        for x in data:
+            c ^= x << (bits - 8)
+            for _ in range(8):
+                c = (c << 1 ^ poly if c >> (bits - 1) & 1 else c << 1) & ((1 << bits) - 1)
+        return c.to_bytes(bits // 8, "big")
+
+    out = b"fLaC\x80\0\0\x22" + struct.pack(">HH", 192, 192) + b"\0" * 6 + ((8000 << 44) | (192 * len(bodies) if total is None else total)).to_bytes(8, "big") + b"\0" * 16
+    for i, body in enumerate(bodies):
+        head = bytes([0xFF, 0xF8, 0x10, 0x00, i])
+        head += crc(head, 0x07, 8)
+        out += head + body + crc(head + body, 0x8005, 16)
+    return out
+
+
 def samples():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -75,7 +92,7 @@ def samples():
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03\x00\x12\xff\x00\x34\xff\xd9"
     pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF"
     ogg = b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc"
-    flac = b"fLaC\x80\0\0\x22" + b"\0" * 34 + b"\xff\xf8ab"
+    flac = flac_file([b"ab", b"cdefg"])
     mp4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8, b"mdat")
     tiff = b"II*\0" + struct.pack("<IHHHIII", 8, 1, 256, 3, 1, 5, 0)
     return {
@@ -88,10 +105,35 @@ def samples():
 def test_sniff_confirms_and_refuses(kind):
     data = samples()[kind]
     assert [p for p in media.sniff(data) if p.offset == 0] == [media.Part(kind, 0, len(data))]
-    assert not [p for p in media.sniff(data[:-1]) if p.kind == kind and kind != "audio/flac"]  # cut short
-    if kind not in ("audio/flac",):
-        inside = media.sniff(b"junk" + data + b"tail" * 3)
-        assert media.Part(kind, 4, len(data)) in inside
+    assert not [p for p in media.sniff(data[:-1]) if p.kind == kind]  # cut short
+    inside = media.sniff(b"junk" + data + b"tail" * 3)
+    assert media.Part(kind, 4, len(data)) in inside
+
+
+def test_flac_frames_confirm_the_length():
+    data = flac_file([bytes(random.Random(i).randbytes(300)) for i in range(20)])
+    assert media.sniff(data + b"trailing bytes") == [media.Part("audio/flac", 0, len(data))]
+    assert media.sniff(flac_file([b"x" * 50] * 4, total=0)) != [] and not media.sniff(data[:-400])
+    broken = bytearray(data)
+    broken[200] ^= 1
+    assert not media.sniff(bytes(broken))
+
+
+def test_archives_of_many_entries_take_linear_time():
+    import time
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("inner.zip", samples()["application/zip"])
+        for i in range(16_000):
+            f.writestr(f"{i}", b"x" * 200)
+    data, inner = z.getvalue(), samples()["application/zip"]
+    began = time.process_time()
+    got = media.sniff(data)
+    assert time.process_time() - began < 0.5
+    assert got == [media.Part("application/zip", 0, len(data)), media.Part("application/zip", data.index(inner), len(inner))]
+    pages = (b"OggS\0\0" + b"\0" * 20 + b"\x01\x03abc") * 20_000 + samples()["application/ogg"]
+    assert media.sniff(pages) == [media.Part("application/ogg", 0, len(pages))]
 
 
 def test_sniff_media_corrects_and_carves(spark):
