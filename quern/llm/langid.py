@@ -10,106 +10,155 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = 128  # 0: everything but letters; 1-26: a-z; 27-127: other letters, hashed
-KEYS = CLASSES**3
+from quern.llm.common import forget, settle
+
 LETTER = re.compile(r"[^\W\d_]")
+_BITS = 21  # of a letter; a trigram's key is exact
+_ONE, _TWO = np.int64((1 << _BITS) - 1), np.int64((1 << 2 * _BITS) - 1)
+_SMALL = 128  # symbols under this are counted in a table, trigrams of any other by sorting
 _TABLE: np.ndarray | None = None
 _CHUNK = 1 << 20
 
 
 def _table() -> np.ndarray:
+    """Symbol of each code point: 0 for everything but letters, 1-26 a-z, 27-127 the letters from U+00DF on, else 128 + code point."""
     global _TABLE
     if _TABLE is None:
-        cp = np.arange(0x110000, dtype=np.uint64)
-        other = 27 + ((cp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(CLASSES - 27)
         letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        t = np.where(letter, other, 0).astype(np.uint8)
+        t = np.where(letter, np.arange(_SMALL, 0x110000 + _SMALL), 0).astype(np.int64)
         t[97:123] = np.arange(1, 27)
+        near = np.flatnonzero(letter[0xDF : 0xDF + 200])[: _SMALL - 27] + 0xDF
+        t[near] = np.arange(27, 27 + len(near))
         _TABLE = t
     return _TABLE
 
 
+def symbols() -> int:
+    """How many symbols there are: the letters of Unicode and one for all else."""
+    return int((_table() > 0).sum()) + 1
+
+
 def trigrams(text: str) -> np.ndarray:
     """Keys of a text's character trigrams: lower-cased, runs of non-letters are one separator, one stands at each end."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.zeros(len(code) + 3, np.int32)
+    c = np.zeros(len(code) + 3, np.int64)
     c[2:-1] = _table()[code]
     keep = np.ones(len(c), bool)
     keep[3:] = (c[3:] != 0) | (c[2:-1] != 0)
     c = c[keep]
-    return (c[:-2] << 14) | (c[1:-1] << 7) | c[2:]
+    return (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``; the place after the last for those that are not there."""
+    i = np.searchsorted(keys, wanted)
+    if len(keys):
+        i[keys[np.minimum(i, len(keys) - 1)] != wanted] = len(keys)
+    return i
 
 
 @dataclass
 class LanguageModel:
-    """``keys``: sorted trigram keys seen in any language; ``logp``: their log probabilities, one column per language;
-    ``back``: log back-off mass of each bigram context; ``low``: log probability of each bigram; ``heat`` and
-    ``reject``: calibration of scores and each language's largest accepted cross-entropy."""
+    """Sorted arrays of the trigrams, bigrams and symbols seen in any language, with one column of log values per language
+    and a last row for whatever none has seen.
+
+    ``tri``: log probability of a trigram; ``back``: log mass that a two-symbol context leaves to bigrams; ``bi``, ``lean``:
+    the same of bigrams and one-symbol contexts; ``uni``: log probability of a symbol. ``heat`` calibrates the scores,
+    ``mean``, ``spread`` and ``bound`` the rejection.
+    """
 
     langs: list[str]
-    keys: np.ndarray
-    logp: np.ndarray
+    keys3: np.ndarray
+    tri: np.ndarray
+    keys2: np.ndarray
+    bi: np.ndarray
     back: np.ndarray
-    low: np.ndarray
+    keys1: np.ndarray
+    uni: np.ndarray
+    lean: np.ndarray
     heat: float = 1.0
-    reject: np.ndarray | None = None
-
-    def entropy(self, text: str) -> np.ndarray:
-        """Cross-entropy per character (nats) under each language's model, over the whole text."""
-        total, n = np.zeros(len(self.langs)), 0
-        key = trigrams(text)
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    bound: float = np.inf
+
+    def _log2(self, key: np.ndarray) -> np.ndarray:
+        """Log probabilities of bigrams, one column per language."""
+        i = _find(self.keys2, key)
+        out, miss = self.bi[i], np.flatnonzero(i == len(self.keys2))
+        if len(miss):
+            k = key[miss]
+            out[miss] = self.lean[_find(self.keys1, k >> _BITS)] + self.uni[_find(self.keys1, k & _ONE)]
+        return out
+
+    def logp(self, key: np.ndarray) -> np.ndarray:
+        """Log probabilities of trigrams, one column per language."""
+        i = _find(self.keys3, key)
+        out, miss = self.tri[i], np.flatnonzero(i == len(self.keys3))
+        if len(miss):
+            k = key[miss]
+            out[miss] = self.back[_find(self.keys2, k >> _BITS)] + self._log2(k & _TWO)
+        return out
+
+    def entropy(self, text: str) -> tuple[np.ndarray, int]:
+        """Cross-entropy per symbol (nats) under each language's model, over the whole text, and the number of symbols."""
+        total, key = np.zeros(len(self.langs)), trigrams(text)
         for at in range(0, len(key), _CHUNK):
-            k = key[at : at + _CHUNK]
-            i = np.searchsorted(self.keys, k)
-            i[i == len(self.keys)] = 0
-            hit = self.keys[i] == k
-            total += self.logp[i[hit]].sum(0, dtype=np.float64)
-            miss = k[~hit]
-            if len(miss):
-                total += self.back[miss >> 7].sum(0, dtype=np.float64) + self.low[miss & 16383].sum(0, dtype=np.float64)
-            n += len(k)
-        return -total / max(n, 1)
+            total += self.logp(key[at : at + _CHUNK]).sum(0, dtype=np.float64)
+        return -total / max(len(key), 1), len(key)
+
+    def odd(self, h: np.ndarray, n: np.ndarray | int, own: np.ndarray | int) -> np.ndarray | float:
+        """By how many standard errors of texts of ``n`` symbols a cross-entropy is over the language's own."""
+        return (h - self.mean[own]) * np.sqrt(n) / self.spread[own]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated score, rejected); ``und``, 0 and True for texts without a letter."""
         if not self.langs or not text or not LETTER.search(text):
             return "und", 0.0, True
-        h = self.entropy(text)
+        h, n = self.entropy(text)
         best = int(np.argmin(h))
         z = np.exp(-self.heat * (h - h[best]))
-        return self.langs[best], float(1 / z.sum()), bool(self.reject is not None and h[best] > self.reject[best])
+        return self.langs[best], float(1 / z.sum()), bool(self.mean is not None and self.odd(h[best], n, best) > self.bound)
 
 
 def kneser_ney(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
     """Interpolated Kneser-Ney models of order 3 from each language's sorted trigram keys and counts.
 
     Discounts are n1 / (n1 + 2 n2) per order; lower orders use continuation counts and the unigrams back off to the
-    uniform distribution over classes, so that every trigram has a probability under every model.
+    uniform distribution over all letters, so that every trigram has a probability under every model.
     """
-    keys = np.unique(np.concatenate([counts[x][0] for x in langs])) if langs else np.zeros(0, np.int64)
-    logp = np.zeros((len(keys), len(langs)), np.float32)
-    back = np.zeros((CLASSES**2, len(langs)), np.float32)
-    low = np.zeros((CLASSES**2, len(langs)), np.float32)
+    join = lambda parts: np.unique(np.concatenate([*parts, np.zeros(0, np.int64)])).astype(np.int64)
+    keys3 = join(counts[x][0] for x in langs)
+    keys2 = join(np.concatenate([counts[x][0] & _TWO, counts[x][0] >> _BITS]) for x in langs)
+    keys1 = join(np.concatenate([keys2 & _ONE, keys2 >> _BITS]) for _ in (0,))
+    shape = lambda k, v: np.full((len(k) + 1, len(langs)), v, np.float32)
+    m = LanguageModel(list(langs), keys3, shape(keys3, 0), keys2, shape(keys2, 0), shape(keys2, 0), keys1, shape(keys1, 0), shape(keys1, 0))
     for j, lang in enumerate(langs):
         k, c = counts[lang]
-        d3 = _discount(c)
-        ctx = np.bincount(k >> 7, c, CLASSES**2)
-        kinds = np.bincount(k >> 7, minlength=CLASSES**2)
-        n2 = np.bincount(k & 16383, minlength=CLASSES**2).astype(float)
-        d2 = _discount(n2[n2 > 0])
-        two = n2.reshape(CLASSES, CLASSES)
-        n1 = (two > 0).sum(0).astype(float)
-        d1 = _discount(n1[n1 > 0])
-        p1 = np.maximum(n1 - d1, 0) / n1.sum() + d1 * (n1 > 0).sum() / n1.sum() / CLASSES
-        tot2 = two.sum(1)
-        lam2 = np.where(tot2 > 0, d2 * (two > 0).sum(1) / np.maximum(tot2, 1), 1.0)
-        p2 = (np.maximum(two - d2, 0) / np.maximum(tot2, 1)[:, None] + lam2[:, None] * p1[None, :]).ravel()
-        lam3 = np.where(ctx > 0, d3 * kinds / np.maximum(ctx, 1), 1.0)
-        own = np.zeros(len(keys))
-        own[np.searchsorted(keys, k)] = np.maximum(c - d3, 0)
-        logp[:, j] = np.log(own / np.maximum(ctx[keys >> 7], 1) + lam3[keys >> 7] * p2[keys & 16383])
-        back[:, j], low[:, j] = np.log(lam3), np.log(p2)
-    return LanguageModel(list(langs), keys, logp, back, low)
+        two, n2 = np.unique(k & _TWO, return_counts=True)  # how many symbols stand before a bigram
+        one, n1 = np.unique(two & _ONE, return_counts=True)
+        d3, d2, d1 = _discount(c), _discount(n2), _discount(n1)
+        p1 = np.full(len(keys1) + 1, d1 * len(one) / n1.sum() / symbols())
+        p1[_find(keys1, one)] += (n1 - d1) / n1.sum()
+        m.uni[:, j] = np.log(p1)
+        head, first = np.unique(two >> _BITS, return_index=True)
+        tot2, kinds2 = np.add.reduceat(n2, first), np.diff([*first, len(two)])
+        lam2 = np.ones(len(keys1) + 1)
+        lam2[_find(keys1, head)] = d2 * kinds2 / tot2
+        at = np.searchsorted(head, two >> _BITS)
+        own2 = (n2 - d2) / tot2[at] + lam2[_find(keys1, two >> _BITS)] * p1[_find(keys1, two & _ONE)]
+        m.lean[:, j] = np.log(lam2)
+        m.bi[:-1, j] = m.lean[_find(keys1, keys2 >> _BITS), j] + m.uni[_find(keys1, keys2 & _ONE), j]
+        m.bi[_find(keys2, two), j] = np.log(own2)
+        head, first = np.unique(k >> _BITS, return_index=True)
+        tot3, kinds3 = np.add.reduceat(c, first), np.diff([*first, len(k)])
+        lam3 = np.ones(len(keys2) + 1)
+        lam3[_find(keys2, head)] = d3 * kinds3 / tot3
+        at = np.searchsorted(head, k >> _BITS)
+        low = np.exp(m.bi[_find(keys2, k & _TWO), j].astype(np.float64))
+        m.back[:, j] = np.log(lam3)
+        m.tri[:-1, j] = m.back[_find(keys2, keys3 >> _BITS), j] + m.bi[_find(keys2, keys3 & _TWO), j]
+        m.tri[_find(keys3, k), j] = np.log((c - d3) / tot3[at] + lam3[_find(keys2, k >> _BITS)] * low)
+    return m
 
 
 def _discount(c: np.ndarray) -> float:
@@ -117,16 +166,30 @@ def _discount(c: np.ndarray) -> float:
     return float(one / (one + 2 * two)) if one and two else 0.5
 
 
-def _counts(df: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _counts(df: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Trigram counts of each ``lang``: of more than ``most`` kinds, those seen oftenest."""
+
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+        rare: dict[str, tuple] = {}
         wait: dict[str, list] = {}
         size: dict[str, int] = {}
 
         def pour(x):
-            sums[x] = sums.get(x, 0) + np.bincount(np.concatenate(wait.pop(x)), minlength=KEYS)
+            k = np.concatenate(wait.pop(x))
+            big = (k >> 2 * _BITS >= _SMALL) | (k >> _BITS & _ONE >= _SMALL) | (k & _ONE >= _SMALL)
+            s = k[~big]
+            sums[x] = sums.get(x, 0) + np.bincount(s >> 2 * _BITS << 14 | (s >> _BITS & 127) << 7 | s & 127, minlength=_SMALL**3)
+            if big.any():
+                old = rare.get(x, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                k, n = np.unique(k[big], return_counts=True)
+                keys, at = np.unique(np.concatenate([old[0], k]), return_inverse=True)
+                rare[x] = keys, np.bincount(at, np.concatenate([old[1], n]), len(keys)).astype(np.int64)
             size[x] = 0
 
+        def out(x, k, n):
+            return pa.RecordBatch.from_arrays([pa.array([x] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
+
         for b in batches:
             for x, t in zip(b.column(0), b.column(1), strict=True):
                 x = x.as_py()
@@ -134,14 +197,29 @@ def _counts(df: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray,
                 size[x] = size.get(x, 0) + len(k)
                 if size[x] >= _CHUNK:
                     pour(x)
+                    if x in rare and len(rare[x][0]) > _CHUNK:  # a task's memory is bounded: the counts meet again later
+                        yield out(x, *rare.pop(x))
         for x in list(wait):
             pour(x)
         for x, s in sums.items():
             k = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(s[k], pa.int64())], names=["lang", "k", "n"])
-
-    rows = df.select(F.col(lang).cast("string"), text).mapInArrow(run, "lang string, k int, n bigint")
-    got = rows.groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()  # at most 2^21 rows a language
+            yield out(x, k >> 14 << 2 * _BITS | (k >> 7 & 127) << _BITS | k & 127, s[k])
+        for x, (k, n) in rare.items():
+            yield out(x, k, n)
+
+    sums = df.mapInArrow(run, "lang string, k bigint, n bigint").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    sums = settle(sums)
+    least: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    for r in sums.groupBy("lang", F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("kinds")).orderBy("lang", F.desc("n")).toLocalIterator():
+        kinds[r.lang] = kinds.get(r.lang, 0) + r.kinds
+        if kinds[r.lang] <= most:
+            least[r.lang] = r.n
+    few = F.lit(False)
+    for x, n in least.items():
+        few = few | ((F.col("lang") == x) & (F.col("n") >= n))
+    got = sums.where(few).toArrow()  # at most ``most`` rows a language
+    forget(sums)
     names, k, n = np.array(got["lang"].to_pylist(), object), got["k"].to_numpy(), got["n"].to_numpy()
     out = {}
     for x in sorted(set(names.tolist())):
@@ -151,54 +229,70 @@ def _counts(df: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray,
     return out
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = 2000) -> LanguageModel:
-    """Count every trigram of every row with a language and a letter, build the models, calibrate them.
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | None = None, sample: int = 2000, most: int = 1 << 21) -> LanguageModel:
+    """Count the trigrams of rows with a language and a letter, build the models, calibrate them on other rows.
 
-    The counts cover all rows. A model holds at most 128^3 trigrams a language, whatever the corpus. Calibration (one
-    temperature for the scores; per language the mean plus four deviations as the largest accepted cross-entropy)
-    looks at about ``sample`` rows, chosen by hash and at most twice as many.
+    A sixteenth of the rows, chosen by a hash of ``key`` and text, is left out of the counts; the counts cover all others.
+    A model holds at most ``most`` trigrams a language (the oftenest; the others' mass goes to bigrams). Calibration looks
+    at about ``sample`` of the rows left out, and at most twice as many, the first by hash: one temperature for the
+    scores, and per language the mean cross-entropy and its spread at a text's length; a text is rejected that lies
+    further over the mean than 99.9 % of those rows. Where too few rows are left out, the counted ones calibrate.
+
+    Null and empty texts and rows without a language teach nothing; languages without a letter in any text are not
+    learned; repeated rows count again; very long texts are read whole; an empty table gives a model without languages.
     """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = _counts(rows.where(F.col("text").rlike(r"\p{L}")), "lang", "text")
+    place = F.pmod(F.xxhash64(*([key] if key else []), text), F.lit(1 << 24))
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    out = rows.where(F.col("place") < 1 << 20)
+    left = out.count()
+    apart = left >= 64
+    counts = _counts((rows.where(F.col("place") >= 1 << 20) if apart else rows).select("lang", "text"), most)
     model = kneser_ney(list(counts), counts)
     if not model.langs:
         return model
-    n = max(1, rows.count())
-    share = min(1.0, sample / n)
-    few = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(2 * sample)
+    if not apart:
+        out, left = rows, max(1, rows.count())
+    most_place = (1 << 20 if apart else 1 << 24) * min(1.0, sample / left)
+    few = out.where(F.col("place") <= int(most_place)).orderBy("place", "lang").limit(2 * sample)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
         at = {x: i for i, x in enumerate(m.langs)}
         for b in batches:
-            own, h = [], []
+            own, h, size = [], [], []
             for x, t in zip(b.column(0), b.column(1), strict=True):
-                if LETTER.search(t.as_py()) and x.as_py() in at:
-                    own.append(at[x.as_py()])
-                    h.append(m.entropy(t.as_py()).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(h, pa.list_(pa.float64()))], names=["own", "h"])
+                if x.as_py() in at:
+                    e, n = m.entropy(t.as_py())
+                    own.append(at[x.as_py()]), h.append(e.tolist()), size.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(h, pa.list_(pa.float64())), pa.array(size, pa.int64())], names=["own", "h", "n"])
 
-    got = few.mapInArrow(run, "own int, h array<double>").toArrow()
+    got = few.select("lang", "text").mapInArrow(run, "own int, h array<double>, n bigint").toArrow()
     if not got.num_rows:
         return model
-    own, h = got["own"].to_numpy(), np.array(got["h"].to_pylist())
-    gap = h - h[np.arange(len(own)), own][:, None]
+    own, h, n = got["own"].to_numpy(), np.array(got["h"].to_pylist()), got["n"].to_numpy()
+    mine = h[np.arange(len(own)), own]
     heats = 2.0 ** np.arange(-2, 8, 0.25)
-    loss = [np.logaddexp.reduce(-t * gap, axis=1).mean() for t in heats]
+    loss = [np.logaddexp.reduce(-t * (h - mine[:, None]), axis=1).mean() for t in heats]
     model.heat = float(heats[int(np.argmin(loss))])
-    mine = h[np.arange(len(own)), own]
-    model.reject = np.array([mine[own == j].mean() + 4 * mine[own == j].std() + 0.5 if (own == j).any() else np.inf for j in range(len(model.langs))])
+    mean, spread = np.full(len(model.langs), np.average(mine, weights=n)), np.full(len(model.langs), max(1e-6, float(np.sqrt(np.mean(n * (mine - np.average(mine, weights=n)) ** 2)))))
+    for j in range(len(model.langs)):
+        if (own == j).sum() >= 8:
+            mean[j] = np.average(mine[own == j], weights=n[own == j])
+            spread[j] = max(1e-6, float(np.sqrt(np.mean(n[own == j] * (mine[own == j] - mean[j]) ** 2))))
+    model.mean, model.spread = mean, spread
+    model.bound = float(np.quantile(model.odd(mine, n, own), 0.999))
     return model
 
 
 def identify(df: DataFrame, model: LanguageModel, key: str | Column = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep``, ``lang_pred``, ``score`` (0 to 1) and ``rejected`` for every row.
 
-    The language with the lowest length-normalised cross-entropy over the whole text wins; ties go to the
-    alphabetically first. ``rejected`` says that even the best model explains the text worse than it explained the
-    rows it learned from; the caller decides whether that means ``und``. Null texts and texts without a letter are
-    ``und`` with score 0, as are all texts if no language was learned.
+    The language with the lowest length-normalised cross-entropy over the whole text, however long, wins; ties go to
+    the alphabetically first. ``rejected`` says that even the best model explains the text worse than the calibrated
+    bound allows for its length; the caller decides whether that means ``und``. Null texts and texts without a letter
+    are ``und`` with score 0, as are all texts if no language was learned. Equal texts (repeated rows) get equal values;
+    columns that are not in ``keep`` are not read; an empty table gives no rows.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 

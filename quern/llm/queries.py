@@ -21,7 +21,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
-    model = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2), key="doc_id")
     return langid.identify(docs.select("doc_id", "text", held), model, keep=("held_out",))
 
 

@@ -216,16 +216,72 @@ def test_language_id(spark, sf_dir, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_language_model_is_a_distribution(spark):
-    df = spark.createDataFrame([("the cat sat on the mat with a hat", "en"), ("le chat est sur la table", "fr")] * 3, "text string, lang string")
+def brute_kneser_ney(texts):
+    """p(c | a, b) of one language by the textbook, with dictionaries."""
+    tri = Counter()
+    for t in texts:
+        tri.update(langid.trigrams(t).tolist())
+    bits = 21
+    two = Counter(k & ((1 << 2 * bits) - 1) for k in tri)
+    one = Counter(k & ((1 << bits) - 1) for k in two)
+
+    def discount(c):
+        n = Counter(c.values())
+        return n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+
+    d3, d2, d1 = discount(tri), discount(two), discount(one)
+
+    def p1(c):
+        total = sum(one.values())
+        return max(one[c] - d1, 0) / total + d1 * len(one) / total / langid.symbols()
+
+    def p2(b, c):
+        mine = {k: n for k, n in two.items() if k >> bits == b}
+        total = sum(mine.values())
+        return max(two[b << bits | c] - d2, 0) / total + d2 * len(mine) / total * p1(c) if total else p1(c)
+
+    def p3(a, b, c):
+        mine = {k: n for k, n in tri.items() if k >> bits == a << bits | b}
+        total = sum(mine.values())
+        return max(tri[a << 2 * bits | b << bits | c] - d3, 0) / total + d3 * len(mine) / total * p2(b, c) if total else p2(b, c)
+
+    return p3
+
+
+WORDS = {"en": "the cat sat on the mat with a hat", "fr": "le chat est sur la table, déjà", "ru": "кот сидит на столе", "zh": "猫坐在桌子上 我喜欢猫", "ja": "ねこはテーブルの上にいます"}
+
+
+def test_language_model_by_brute_force(spark):
+    df = spark.createDataFrame([(t, x) for x, t in WORDS.items()] * 3, "text string, lang string")
     m = langid.fit(df)
-    for j in range(2):
-        for ctx in ("th", "zz", " l"):
-            a, b = (int(langid._table()[ord(c)]) for c in ctx)
-            keys = (a << 14) | (b << 7) | np.arange(128)
-            i = np.minimum(np.searchsorted(m.keys, keys), len(m.keys) - 1)
-            p = np.where(m.keys[i] == keys, m.logp[i, j], m.back[keys >> 7, j] + m.low[keys & 16383, j])
-            assert np.exp(p.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    assert m.langs == sorted(WORDS)
+    for j, x in enumerate(m.langs):
+        p = brute_kneser_ney([WORDS[x]] * 3)
+        for t in [*WORDS.values(), "unseen zebra äöü 漢字"]:
+            keys = langid.trigrams(t)
+            want = [p(k >> 42, k >> 21 & (1 << 21) - 1, k & (1 << 21) - 1) for k in keys.tolist()]
+            assert np.exp(m.logp(keys)[:, j]) == pytest.approx(want, rel=1e-3)
+            assert m.entropy(t)[0][j] == pytest.approx(-np.log(want).mean(), rel=1e-4)
+    for x, t in WORDS.items():
+        assert m.predict(t)[0] == x  # no script is folded into another
+
+
+def test_language_model_is_a_distribution(spark):
+    m = langid.fit(spark.createDataFrame([(t, x) for x, t in WORDS.items()] * 3, "text string, lang string"))
+    every = np.unique(langid._table())
+    for a, b in ((20, 8), (0, 12), (langid._table()[ord("猫")], langid._table()[ord("坐")]), (200_000, 26)):
+        p = np.exp(m.logp((np.int64(a) << 42) | (np.int64(b) << 21) | every).astype(float))
+        assert p.sum(0) == pytest.approx(1, abs=1e-3)
+
+
+def test_language_rejection(spark, sf_dir):
+    """Languages and noise that were not learned are rejected, held-out texts of the learned ones hardly ever."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = langid.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"), key="doc_id")
+    held = [m.predict(r.text) for r in docs.where("crc32(cast(doc_id as string)) % 4 = 2 and length(text) > 200").collect()]
+    assert np.mean([r[2] for r in held]) < 0.03
+    strange = ["Це зовсім інша мова, якої модель ніколи не бачила раніше", "猫坐在桌子上，我喜欢猫和狗", "xq zzkw qqvx jjkx wvvq xzzq kkqj vxqz", "Ez egy teljesen más nyelv, amelyet a modell soha nem látott", "Αυτή είναι μια άλλη γλώσσα"]
+    assert [m.predict(t)[2] for t in strange] == [True] * 5
 
 
 def test_language_odd(odd, none):
