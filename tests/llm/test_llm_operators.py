@@ -398,6 +398,59 @@ def test_quality_held_out(spark):
     assert np.mean([r.score for r in good]) > np.mean([r.score for r in held if label[r.doc_id] == 0]) + 0.3
 
 
+def brute_features(text):
+    """The n-grams of a text, one by one, as feature numbers."""
+    big = 1 << 64
+    slot = lambda g: (g * 0x9E3779B97F4A7C15) % big >> 46
+    shape = quality._shape_table()
+    c, out = [ord(x) for x in text], set()
+    s = [int(shape[min(x, 0x2FFF)]) for x in c]
+    for i in range(len(c)):
+        one = c[i] + 1
+        out.add(slot(one))
+        if i + 1 < len(c):
+            two = (one * 0x1F123BB5 + c[i + 1] + 1) % big
+            out.add(slot(two))
+            if i + 2 < len(c):
+                out.add(slot((two * 0x2545F491 + c[i + 2] + 1) % big))
+        if i + 4 < len(c):
+            out.add(slot(sum(s[i + k] << 3 * (4 - k) for k in range(5)) + (1 << 40)))
+    words = text.split()
+    for i in range(len(words) - 7):
+        out.add(slot(sum((words[i + k] not in words[: i + k]) << (7 - k) for k in range(8)) + (1 << 41)))
+    return sorted(out)
+
+
+def test_quality_by_brute_force(spark, docs):
+    """Features one by one, ratios by counting, and a hinge loss whose duality gap has closed."""
+    texts = ["", "a", "Ab 1!", "one two three four five six seven eight one two\n" * 3, *[t or "" for _, t, _ in docs[:40]]]
+    for t in texts:
+        assert quality.features(t).tolist() == brute_features(t)
+    y = [i % 2 for i in range(len(texts))]
+    model = quality.fit(spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(zip(texts, y, strict=True))], "doc_id long, text string, quality int"), key="doc_id")
+    n, c = [y.count(0), y.count(1)], [Counter(), Counter()]
+    for t, v in zip(texts, y, strict=True):
+        c[v].update(brute_features(t))
+    for k in {*c[0], *c[1]}:
+        assert model.ratio[k] == pytest.approx(np.log((c[1][k] + 1) / (n[1] + 2) / ((c[0][k] + 1) / (n[0] + 2))), abs=1e-6)
+    f = [quality.features(t) for t in texts]
+    v = [r / max(np.sqrt((r * r).sum()), 1e-12) for r in (model.ratio[i] for i in f)]
+    sign = np.array([1.0 if x else -1.0 for x in y])
+    w, b = quality.dual_descent(f, v, sign, quality.SIZE, epochs=500)
+    x = np.zeros((len(f), quality.SIZE + 1))
+    for i in range(len(f)):
+        x[i, f[i]], x[i, -1] = v[i], 1
+    full = np.append(w, b)
+    primal = full @ full / 2 + np.maximum(0, 1 - sign * (x @ full)).sum()
+    k = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(len(f))  # the same problem by projected gradient steps
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (k @ alpha - 1) / np.linalg.norm(k, 2), 0, 1)
+    assert primal == pytest.approx(alpha.sum() - alpha @ k @ alpha / 2, rel=0.01)
+    held = model.score(texts[-1])
+    assert held == pytest.approx(1 / (1 + np.exp(-(model.slope * (model.weight[f[-1]].sum() / np.sqrt((model.ratio[f[-1]] ** 2).sum()) + model.bias) + model.shift))))
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows_, vals, y = [], [], []

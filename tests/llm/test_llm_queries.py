@@ -42,7 +42,7 @@ def stages(spark, docs, sf_dir):
 
 
 def test_pipeline_by_brute_force(spark, sf_dir):
-    from test_llm_operators import brute_fingerprint, brute_lines, check_packing, groups
+    from test_llm_operators import brute_lines, check_packing, groups
 
     from quern.llm import quality
     from quern.llm.queries import labelled
@@ -52,13 +52,19 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     for df in kept[:-1]:
         assert df.columns == docs.columns
     text = [{r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for df in kept[:-1]]
-    model = quality.fit(labelled(docs, spark, sf_dir))
+    model = quality.fit(labelled(docs, spark, sf_dir), key="doc_id")
     assert set(text[1]) == {d for d, t in text[0].items() if model.score(t) >= 0.3} and 0 < len(text[1]) < len(text[0])
     assert all(text[1][d] == text[0][d] for d in text[1])
     assert Counter((d, t) for d, t in text[2].items()) == Counter({(d, t): n for (d, _, _, t), n in brute_lines(list(text[1].items())).items()})
-    fps = {d: brute_fingerprint(t) for d, t in text[2].items()}
-    ids = sorted(fps)
-    label = groups(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fps[a] ^ fps[b]).bit_count() <= 3])
+
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids = sorted(text[2])
+    sets = {d: grams(text[2][d]) for d in ids}
+    like = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    label = groups(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if like(sets[a], sets[b])])
     assert text[3] == {d: text[2][d] for d in set(label.values())}
     items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     cut = lambda t: [tuple(w[i : i + 5]) for w in [decontam.tokens(t)] for i in range(len(w) - 4)]
@@ -119,27 +125,3 @@ def test_near_dedup_finds_changed_words(spark, sf_dir, hot):
     assert {r.doc_id for r in kept.collect()} == set(label.values())
     far = [(i, j) for i, j in pairs if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
     assert far
-
-
-def test_pipeline_keeps_one_of_similar_texts(spark, sf_dir):
-    """The stages from near dedup on, held against five-word similarity of whole texts."""
-    from test_llm_operators import check_packing, groups
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = stages(spark, docs, sf_dir)
-    text = [{r.doc_id: r.text for r in df.select("doc_id", "text").collect()} for df in kept[:-1]]
-
-    def grams(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    ids = sorted(text[2])
-    sets = {d: grams(text[2][d]) for d in ids}
-    like = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
-    label = groups(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if like(sets[a], sets[b])])
-    assert text[3] == {d: text[2][d] for d in set(label.values())}
-    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    cut = lambda t: [tuple(w[i : i + 5]) for w in [decontam.tokens(t)] for i in range(len(w) - 4)]
-    bad = {d for d, t in text[3].items() for held in [set(cut(t))] for x in items if sum(w in held for w in cut(x)) >= 0.8 * len(cut(x))}
-    assert text[4] == {d: t for d, t in text[3].items() if d not in bad}
-    check_packing([tuple(r) for r in kept[5].collect()], list(text[4].items()))
