@@ -110,8 +110,8 @@ def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int =
     """Learn from labelled rows (label 0 or 1; other rows are not looked at).
 
     The log-count ratios cover all labelled rows (at most 2^18 sums reach the driver). The hinge-loss model is fitted on
-    about ``sample`` of them and at most twice as many, the first by a hash of ``key`` and text; four fifths fit the
-    weights, one fifth the sigmoid that turns margins into scores. Without rows of both labels every score is the share
+    about ``sample`` of them and at most twice as many, the first by a hash of ``key`` and text; threefold
+    cross-fitting gives the margins for the sigmoid that turns them into scores. Without rows of both labels every score is the share
     of label 1 (0.5 without any label).
 
     Null and empty texts are rows without a feature; a row with two labels counts under both, a repeated one again; very
@@ -155,14 +155,15 @@ def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int =
     f = [np.frombuffer(x[1], np.int32) for x in pairs]
     y = np.array([1.0 if x[0] else -1.0 for x in pairs])
     v = [r / max(np.sqrt((r * r).sum()), 1e-12) for r in (ratio[i] for i in f)]
-    hold = np.random.default_rng(11).random(len(f)) < 0.2
-    if len({*y[~hold]}) < 2:
-        hold[:] = False
-    fit_on = np.flatnonzero(~hold)
-    w, bias = dual_descent([f[i] for i in fit_on], [v[i] for i in fit_on], y[fit_on], SIZE)
-    look = np.flatnonzero(hold) if len({*y[hold]}) == 2 else fit_on
-    m = np.array([w[f[i]] @ v[i] + bias for i in look])
-    slope, shift = _sigmoid(m, y[look] > 0)
+    # margins of rows that the weights have not seen, by threefold cross-fitting, for the sigmoid
+    part, m = np.random.default_rng(11).permutation(len(f)) % 3, np.zeros(len(f))
+    for k in range(3):
+        on = np.flatnonzero(part != k)
+        w, bias = dual_descent([f[i] for i in on], [v[i] for i in on], y[on], SIZE)
+        for i in np.flatnonzero(part == k):
+            m[i] = w[f[i]] @ v[i] + bias
+    slope, shift = _sigmoid(m, y > 0)
+    w, bias = dual_descent(f, v, y, SIZE)
     return QualityModel(ratio, w * ratio, bias, slope, shift)
 
 
