@@ -94,8 +94,29 @@ QUERIES = {
     )
 }
 
-_LINK_RE = r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)"""
-_HOST = "translate(regexp_extract({u}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def _part(url: str, pattern: str, group: int) -> str:
+    rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"regexp_extract({rest}, '{pattern}', {group})"
+
+
+def _host(url: str) -> str:
+    return f"translate({_part(url, '^[^/?#]*', 0)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _node(url: str) -> str:
+    tail = _part(url, "^[^/?#]*([^#]*)", 1)
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || CASE WHEN {tail} = '' THEN '/' WHEN starts_with({tail}, '?') THEN '/' || {tail} ELSE {tail} END END"
+
+
+def _target(tag: str, has: str, where: str) -> str:
+    """What the first ``tag`` with ``has`` in it says at ``where``."""
+    found = rf"(?is)^<{tag}\b[^>]*{where}"
+    tags = rf"regexp_extract_all(html, '(?is)<{tag}\b[^>]*')"
+    return f"regexp_extract(list_filter({tags}, lambda x: regexp_matches(x, '(?is){has}') AND regexp_matches(x, '{found}'))[1], '{found}', 1)"
+
+
+_CANONICAL = _target("link", r"\brel\s*=\s*[\"'']?canonical\b", r"\bhref\s*=\s*[\"'']?([^\"''\s>]+)")
+_REFRESH = _target("meta", r"\bhttp-equiv\s*=\s*[\"'']?refresh\b", r"\bcontent\s*=\s*[\"'']?[^>]*?url\s*=\s*[\"'']?([^\"''\s>]+)")
 _TABLE9 = ",".join(map(str, sharding.lookup_table(SHARDS)))
 
 SQL: dict[str, str] = {
@@ -110,19 +131,17 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE lost) AS BIGINT)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
     "op5_url_filters": f"""
-WITH RECURSIVE p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
-  regexp_extract(html, '{_LINK_RE}', 1) AS link FROM pages),
-q AS (SELECT page_id, {_HOST.format(u='rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail, link FROM p),
-n AS (SELECT *, host || CASE WHEN tail = '' THEN '/' WHEN starts_with(tail, '?') THEN '/' || tail ELSE tail END AS node,
-  CASE WHEN contains(link, '://') THEN substr(link, instr(link, '://') + 3) END AS l FROM q),
-e0 AS (SELECT DISTINCT node AS a, {_HOST.format(u='l')} || CASE regexp_extract(l, '^[^/?#]*([^#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(l, '^[^/?#]*([^#]*)', 1) END AS b
-  FROM n WHERE l IS NOT NULL AND host <> ''),
+WITH RECURSIVE q AS (SELECT page_id, url, {_host('url')} AS host, {_part('url', '^[^/?#]*([^?#]*)', 1)} AS path, {_node('url')} AS node,
+  [{_CANONICAL}, {_REFRESH}] AS links FROM pages),
+t AS (SELECT host, path, node AS a, replace(unnest(links), '&amp;', '&') AS t FROM q WHERE node IS NOT NULL),
+u AS (SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t
+  ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || t END AS url FROM t WHERE t <> ''),
+e0 AS (SELECT DISTINCT a, {_node('url')} AS b FROM u),
 e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
 r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 j AS (SELECT x, {urlfilter.rules_sql("split_part(split_part(y, '/', 1), '?', 1)", "regexp_extract(y, '^[^/?#]*([^?#]*)', 1)", urlfilter.RULES, 'verdict')} AS v FROM r),
 g AS (SELECT x, bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), false) AS bad FROM j GROUP BY x),
-m AS (SELECT n.*, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'rule')} AS rule, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'verdict')} AS own FROM n)
+m AS (SELECT q.*, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'rule')} AS rule, {urlfilter.rules_sql('host', 'path', urlfilter.RULES, 'verdict')} AS own FROM q)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN g.bad THEN 'block' END, 'allow') AS verdict FROM m LEFT JOIN g ON m.node = g.x""",
     "op9_sharding": f"""
 WITH t AS (SELECT string_split('{_TABLE9}', ',') AS owners),

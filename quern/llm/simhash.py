@@ -76,8 +76,11 @@ def links(fps: DataFrame, bits: int = 3, k: int | None = None, hot: int = 1024)
 
     At most three differing bits leave at least five of the eight bytes equal. The inverted index holds one posting
     per fingerprint and set of ``k`` byte positions, the sets being such that five equal bytes always include one of
-    them (k=3: eight sets, 24-bit keys; k=5: all 56 sets, 40-bit keys). Pairs that meet in a posting list are
-    tallied: those sharing fewer than five positional bytes go, the rest are verified on the differing bits.
+    them (k=3: eight sets, 24-bit keys; k=5: all 56 sets, 40-bit keys). So a key stands for the first ``k`` hits of the
+    count bound: a pair that does not share ``k`` bytes of some set cannot reach five, and is never formed. Postings of
+    single bytes would give the same pairs after counting, but a 256th of all pairs before it. Pairs that meet in a
+    posting list are tallied over all eight bytes: those sharing fewer than five go, the rest are verified on the
+    differing bits.
     ``k=None`` takes 5 where the 24-bit lists would hold over 64 random fingerprints each; the links are the same.
 
     A posting list of over ``hot`` members is not paired. Its members differ in the other bytes only, so each is

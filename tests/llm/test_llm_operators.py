@@ -356,15 +356,22 @@ def test_components(spark):
 # url filters ---------------------------------------------------------------------------------------------------------
 
 
-def test_urls(spark):
-    link = '<html><head><link href="{}" rel="canonical"></head>'
-    pages = [
+LINK = '<html><head><link href="{}" rel="canonical"></head>'
+
+
+def url_pages():
+    link = LINK
+    return [
         (1, "https://a.example.NET/en/x?y#z", None), (2, "http://b.net/q", ""), (3, "http://c.example.org/fr/1", "x"), (4, "http://example.com/de/1", ""),
         (5, "http://x.example.org/en/", link.format("http://bad.net/p")), (6, "http://y.example.org/en/", link.format("//x.example.org/en/")),
         (7, "http://z.example.org/1", link.format("http://bad.net/2")), (8, "http://z.example.org/fr/9", link.format("/1")),
         (9, "http://w.example.org/a/b", "<meta http-equiv=refresh content='0; url=c'>"), (10, "http://w.example.org/a/c", link.format("https://t.net/")),
         (11, None, link.format("http://t.net/")), (12, "no scheme", None), (None, "HTTP://Q.ORG", None), (2, "http://b.net/q", ""), (13, "http://notnet/", None),
     ]
+
+
+def test_urls(spark):
+    pages = url_pages()
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("clash")).withColumn("node", F.lit(1))
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(df).collect()}
     assert got == {
@@ -380,6 +387,32 @@ def test_urls(spark):
     assert urlfilter.filter_urls(page, html=None).first().verdict == "allow"
 
 
+def test_url_sql_on_made_links(spark, tmp_path):
+    """The SQL finds the same links, either order of attributes, relative targets and refreshes, and the same groups; very long pages too."""
+    import duckdb
+
+    from quern.llm.queries import SQL
+
+    rng = random.Random(3)
+    hosts = ["a.net", "b.org", "example.com", "c.example.net", "d.info", "E.Info"]
+    forms = ["<link rel=canonical href={}>", "<LINK href='{}' REL=\"canonical\" />", '<meta content="5; URL={}" http-equiv="refresh">', "<meta http-equiv=refresh content='0;url={}'>", "<link rel=icon href={}>", "{}"]
+    pages = url_pages()
+    for i in range(300):
+        target = rng.choice(["http://{}/{}", "https://{}/en/{}?x#y", "//{}/{}", "/{1}", "{1}", "?q={1}", "../{1}&amp;b=1"]).format(rng.choice(hosts), rng.randrange(60))
+        url = rng.choice(["http://{}/{}", "https://{}/de/{}", "http://{}/fr/{}", "http://{}"]).format(rng.choice(hosts), rng.randrange(60))
+        pages.append((100 + i, url, "<html>" + " filler" * (200_000 if i == 7 else 3) + rng.choice(forms).format(target) + "</html>" if rng.random() < 0.3 else None))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(df).collect())
+    c = duckdb.connect()
+    df.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    c.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = c.sql(SQL["op5_url_filters"])
+    order = [want.columns.index(x) for x in ("page_id", "host", "path", "rule", "verdict")]
+    assert got == Counter(tuple(r[i] for i in order) for r in want.fetchall())
+    none = Counter(r.verdict for r in urlfilter.filter_urls(df, html=None).collect())
+    assert none != Counter(r[4] for r in got.elements())  # links did move verdicts
+
+
 # quality -------------------------------------------------------------------------------------------------------------
 
 
