@@ -55,49 +55,83 @@ def template(text: str, initial: bool = False) -> tuple[list[str], list[str | No
     return toks, slots
 
 
-class Templates:
-    """Both templates of whole texts as token hashes; what a word is by itself is remembered, for a fixed number of words.
+_SPLIT = re.compile(f"({WORD.pattern})")
+_INNER = re.compile(r"[,;]?[ \t]+")  # what stands between a letter and a capitalised word of the same sentence
+_NUMBER_BIT, _UNIT_BIT, _SIGN_BIT, _CAPITAL_BIT, _LETTER_BIT = 1, 2, 4, 8, 16
 
-    The same as :func:`template` without building its tokens: only the slots of windows that count are spelled out.
-    """
 
-    def __init__(self, size: int = 1 << 20):
-        self.known: dict[str, tuple[int, int]] = {}
+class Words:
+    """Numbers of words; what a word is by itself is remembered, for up to ``size`` words. Number 0 is the end of a text."""
+
+    def __init__(self, size: int = 1 << 19):
         self.size = size
         self.num, self.unit, self.name = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
-
-    def _word(self, w: str) -> tuple[int, int]:
-        low = w.lower()
-        number = low[0].isdigit() and bool(_NUMBER.fullmatch(low)) or low in NUMBER_WORDS
-        kind = number + 2 * (low in UNITS) + 4 * (low in "$€£") + 8 * (w[0].isupper() and bool(_CAPITAL.match(w)))
-        return xxhash.xxh3_64_intdigest(low), kind
-
-    def __call__(self, text: str):
-        """(words, [(kind, token hashes, slot types)]): a slot type is 0 for none, else n, u or p as 1, 2 or 3."""
-        if len(self.known) > self.size:
-            self.known.clear()
-        known, found = self.known, WORD.findall(text)
-        for w in set(found):
-            if w not in known:
-                known[w] = self._word(w)
-        h = np.fromiter((known[w][0] for w in found), np.uint64, len(found))
-        k = np.fromiter((known[w][1] for w in found), np.uint8, len(found))
-        number = k & 1 != 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.inner: dict[str, bool] = {}
+        self.hash, self.kind, self.used = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8), 1
+
+    def cut(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, their numbers, and whether what stands before each lets it be inside a sentence."""
+        parts = _SPLIT.split(text)
+        words, gaps = parts[1::2], parts[:-1:2]
+        try:
+            ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        except KeyError:
+            for w in set(words):
+                if w not in self.number:
+                    self._learn(w)
+            ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        try:
+            inner = np.fromiter(map(self.inner.__getitem__, gaps), bool, len(gaps))
+        except KeyError:
+            if len(self.inner) > 1 << 16:
+                self.inner.clear()
+            self.inner.update({g: bool(_INNER.fullmatch(g)) for g in set(gaps)})
+            inner = np.fromiter(map(self.inner.__getitem__, gaps), bool, len(gaps))
+        return words, ids, inner
+
+    def _learn(self, w: str) -> None:
+        low, i = w.lower(), self.used
+        if i == len(self.hash):
+            self.hash, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind))
+        is_number = low[0].isdigit() and bool(_NUMBER.fullmatch(low)) or low in NUMBER_WORDS
+        self.kind[i] = (
+            is_number * _NUMBER_BIT | (low in UNITS) * _UNIT_BIT | (low in "$€£") * _SIGN_BIT
+            | (w[0].isupper() and bool(_CAPITAL.match(w))) * _CAPITAL_BIT | (w[-1].isalpha()) * _LETTER_BIT
+        )
+        self.hash[i] = xxhash.xxh3_64_intdigest(low)
+        self.number[w] = i
+        self.used = i + 1
+
+    def windows(self, ids: np.ndarray, inner: np.ndarray, templates: bool):
+        """(kind, hashes, slot types, positions) of the windows of :func:`_windows_of`, for texts that end in number 0 each.
+
+        A slot type is 0 for none, else n, u or p as 1, 2 or 3. No window reaches over the end of a text.
+        """
+        end = ids == 0
+        whole = np.flatnonzero(np.convolve(end, np.ones(WINDOW, np.int8), "valid") == 0)
+        h, k = self.hash[ids], self.kind[ids]
+        yield 0, _mix(h, len(h) - WINDOW + 1, WINDOW)[whole], None, whole
+        if not templates:
+            return
+        number = k & _NUMBER_BIT != 0
         beside = np.zeros(len(k), bool)
         beside[1:] = number[:-1]
-        beside[:-1] |= (k[:-1] & 4 != 0) & number[1:]
-        typed = np.where(number, 1, np.where((k & 2 != 0) & beside, 2, 0)).astype(np.uint8)
-        capital = (k & 8 != 0) & (typed == 0)
-        inner = np.zeros(len(k), bool)
-        if capital.any():
-            starts = np.fromiter((m.start() for m in WORD.finditer(text)), np.int64, len(found))
-            names = np.fromiter((m.start(1) for m in _NAME.finditer(text) if m.group(1)[0].isupper()), np.int64)
-            inner = capital & np.isin(starts, names)
-        out = []
-        for kind, name in ((1, inner), (2, capital)):
+        beside[:-1] |= (k[:-1] & _SIGN_BIT != 0) & number[1:]
+        typed = np.where(number, 1, np.where((k & _UNIT_BIT != 0) & beside, 2, 0)).astype(np.uint8)
+        capital = (k & _CAPITAL_BIT != 0) & (typed == 0)
+        inside = capital & inner
+        inside[0] = False
+        inside[1:] &= k[:-1] & _LETTER_BIT != 0
+        for kind, name in ((1, inside), (2, capital)):
             t = np.where(name, np.uint8(3), typed)
-            out.append((kind, np.choose(t, (h, self.num, self.unit, self.name)), t))
-        return found, out
+            n = np.convolve(t != 0, np.ones(WINDOW, np.int8), "valid")[whole]
+            at = whole[(n > 0) & (n < WINDOW)]
+            th = np.choose(t, (h, self.num, self.unit, self.name))
+            yield kind, _mix(th, len(th) - WINDOW + 1, WINDOW)[at], t, at
 
 
 def _slot(word: str, kind: int) -> str:
@@ -227,34 +261,59 @@ def contaminated(
     table = spark.sparkContext.broadcast(bits)
 
     def run(batches):
-        known, hasher, typer = table.value, Hasher(), Templates()
+        known, seen = table.value, Words()
 
         def hit(h):
             s = (h >> np.uint64(shift)).astype(np.int64)
             return (known[s >> 3] >> (s & 7).astype(np.uint8)) & 1 != 0
 
-        for b in batches:
+        def found(held: list[tuple]):
+            """(number of the text, position, kind, hash, slot values) of the windows that the table knows, for texts at once."""
+            ids = np.concatenate([x for _, i, _ in held for x in (i, np.zeros(1, np.int32))])
+            inner = np.concatenate([x for _, _, g in held for x in (g, np.zeros(1, bool))])
+            start = np.cumsum([0, *(len(i) + 1 for _, i, _ in held)])[:-1]
+            for kind, h, typed, at in seen.windows(ids, inner, templates):
+                yes = hit(h)
+                h, at = h[yes], at[yes]
+                doc = np.searchsorted(start, at, "right") - 1
+                if kind == 0:  # where a literal window stands does not matter
+                    once = np.unique(np.stack([doc.view(np.uint64), h], 1), axis=0, return_index=True)[1]
+                    h, at, doc = h[once], at[once], doc[once]
+                for d, p, v in zip(doc.tolist(), (at - start[doc]).tolist(), h.view(np.int64).tolist(), strict=True):
+                    w, q = held[d][0][p : p + WINDOW], p + start[d]
+                    yield d, p, kind, v, [_slot(x, t) for x, t in zip(w, typed[q : q + WINDOW].tolist(), strict=True) if t] if kind else []
+
+        def batch(keys, held, kind_of_key):
             cols: list[list] = [[] for _ in range(5)]
+            for d, *r in found(held) if held else ():
+                for c, v in zip(cols, (keys[d].as_py(), *r), strict=True):
+                    c.append(v)
+            return _hits(cols, kind_of_key)
+
+        for b in batches:
+            keys, held, size, odd = [], [], 0, [[] for _ in range(5)]
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 t = t.as_py()
                 if not t:
                     continue
-                lit = hasher.windows(tokens(t))
-                q = np.flatnonzero(hit(lit))
-                q = q[np.unique(lit[q], return_index=True)[1]]  # where a literal window stands does not matter
-                found = [(p, 0, h, []) for p, h in zip(q.tolist(), lit[q].view(np.int64).tolist(), strict=True)]
-                words, both = typer(t) if templates else ([], [])
-                for kind, th, typed in both if words else ():
-                    at = _slotted(words, typed)
-                    tpl = _windows(th)[at]
-                    yes = hit(tpl)
-                    for p, h in zip(at[yes].tolist(), tpl[yes].view(np.int64).tolist(), strict=True):
-                        found.append((p, kind, h, [_slot(w, x) for w, x in zip(words[p : p + WINDOW], typed[p : p + WINDOW].tolist()) if x]))
-                for r in found:
-                    for c, v in zip(cols, (i.as_py(), *r), strict=True):
-                        c.append(v)
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "pos", "kind", "h", "vals"])
+                cut = seen.cut(t)
+                if len(cut[0]) < WINDOW or "\u0130" in t:  # one window of its own kind; a letter that is two in lower case
+                    for r in _windows_of(t, Hasher()) if cut[0] else ():
+                        if hit(np.array([r[2]], np.int64).view(np.uint64))[0]:
+                            for c, v in zip(odd, (i.as_py(), *r), strict=True):
+                                c.append(v)
+                    continue
+                keys.append(i), held.append(cut)
+                size += len(cut[0])
+                if size > 1 << 18:
+                    yield batch(keys, held, b.schema.field(0).type)
+                    keys, held, size = [], [], 0
+                    if seen.used > seen.size:
+                        seen.clear()
+            yield batch(keys, held, b.schema.field(0).type)
+            yield _hits(odd, b.schema.field(0).type)
+            if seen.used > seen.size:
+                seen.clear()
 
     kind = df.schema[key].dataType.simpleString()
     hits = settle(df.select(key, text).mapInArrow(run, f"doc {kind}, pos int, kind int, h bigint, vals array<string>"))
@@ -294,6 +353,11 @@ def contaminated(
     return out
 
 
+def _hits(cols: list[list], key: pa.DataType) -> pa.RecordBatch:
+    kinds = (key, pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "pos", "kind", "h", "vals"])
+
+
 def _candidates(hits: DataFrame, bench: DataFrame, least: float) -> DataFrame:
     """``doc``, ``item``: pairs that share one of the item's rarest windows, so many that no pair can reach ``least`` without.
 

@@ -548,6 +548,21 @@ def test_decontamination_finds_exchanged_names_at_sentence_starts(spark):
     assert got == {(1, 1): "template", (2, 2): "template"}
 
 
+def test_windows_of_many_texts_are_those_of_each(docs):
+    texts = ["Mr. Smith paid $5 to Anna, and 12km with McDonald; Émile Zola saw 3,000.5 km % 7 dollars_a b\tC. Dora ran 4 miles", "one Two three Four five, Six", *[t for _, t, _ in docs if t]]
+    texts = [t for t in texts if len(decontam.tokens(t)) >= 5]
+    seen = decontam.Words()
+    held = [seen.cut(t) for t in texts]
+    ids = np.concatenate([x for _, i, _ in held for x in (i, [0])])
+    inner = np.concatenate([x for _, _, g in held for x in (g, [False])])
+    got = [(int(p), kind, int(h)) for kind, hs, _, at in seen.windows(ids, inner, True) for p, h in zip(at, hs.view(np.int64), strict=True)]
+    want, start = [], 0
+    for t, (words, _, _) in zip(texts, held, strict=True):
+        want += [(start + p, kind, h) for p, kind, h, _ in decontam._windows_of(t, decontam.Hasher())]
+        start += len(words) + 1
+    assert Counter(got) == Counter(want)
+
+
 def brute_contaminated(doc, item, least=0.8):
     """'literal', 'template' or None for one document and item, window by window."""
     n_of = lambda toks: range(max(1, len(toks) - 4)) if toks else range(0)
