@@ -125,3 +125,52 @@ def test_near_dedup_finds_changed_words(spark, sf_dir, hot):
     assert {r.doc_id for r in kept.collect()} == set(label.values())
     far = [(i, j) for i, j in pairs if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3]
     assert far
+
+
+def test_shingle_sets_of_any_text():
+    """Vectorised cutting gives the words and shingles of each text: short, long, odd, and longer than a chunk."""
+    import pyarrow as pa
+
+    from quern.llm import neardup, simhash
+    from quern.llm.common import ascii_lower_py
+
+    long = " ".join(f"Wort{i % 1000}" for i in range(200_000))
+    texts = ["a b c d e f", "", None, " \n", "A B\tC  d\x0be f", "ÄÖ Ü é ß ñ Ä", "one", "x " * 30, "y" * 70_000 + " b c d e", "Y" * 70_000 + " b c D e", "z" * (neardup._CHUNK + 5) + " " + "a b c d e f", long, "pre " + long, "g h i j k"]
+    column = pa.array(["skipped", *texts], pa.string()).slice(1)
+    got = list(neardup.shingle_sets(column))
+
+    def cut(t):
+        w = simhash.WORDS.findall(ascii_lower_py(t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    want = [cut(t) for t in texts]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len({*got[i].tolist()} & {*got[j].tolist()}) == len(want[i] & want[j]), (i, j)
+    assert all((g[1:] > g[:-1]).all() for g in got)
+
+
+def test_hot_families_by_brute_force(spark, monkeypatch):
+    """Hundreds of near copies of one text, in small blocks: the components of all similar pairs, and no more."""
+    import random
+
+    from test_llm_operators import groups
+
+    from quern.llm import neardup
+
+    rng = random.Random(4)
+    monkeypatch.setattr(neardup, "_BLOCK", 16)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(260):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5, 6, 9])):
+            w[at] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[20:60] + [f"u{i}-{k}" for k in range(60)]) for i in range(90)]
+    cut = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(cut[i] & cut[j]) >= 4 * (len(cut[i]) + len(cut[j]))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (64, 8):
+        assert {r.doc_id: r.component_id for r in neardup.near_groups(df, hot=hot).collect()} == groups(range(len(texts)), pairs)
