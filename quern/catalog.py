@@ -5,6 +5,7 @@ Every query runs over its whole table. Doubles are rounded on both sides, as sum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 import quern as Q
 from quern.functions.exprs import q
+from quern.session import scratch
 from quern.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,6 +222,25 @@ def _hash_sql() -> str:
 
 
 add("feature_hasher", lambda spark, sf: Q.FeatureHasher(["p_brand", "p_type"], 8).fit_transform(read_table(spark, sf, "part")), _hash_sql())
+_BRANDS = ["p_brand", "p_type"]
+
+
+def _hasher_wide(spark, sf):
+    """1024 buckets of 100 columns."""
+    part = read_table(spark, sf, "part")
+    wide = part.select(*[F.concat(F.col(_BRANDS[i % 2]), F.lit(f"/{i}")).alias(f"c{i}") for i in range(100)])
+    return Q.FeatureHasher(wide.columns, 1024).fit_transform(wide)
+
+
+def _hasher_wide_sql() -> str:
+    cells = ", ".join(f"{_BRANDS[i % 2]} || '/{i}'" for i in range(100))
+    bucket = "('0x' || substr(md5(v), 1, 8))::BIGINT % 1024"
+    sign = "CASE WHEN ('0x' || substr(md5('sign:' || v), 1, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END"
+    sums = f"SELECT i, {bucket} AS b, sum({sign})::DOUBLE AS s FROM (SELECT i, unnest([{cells}]) AS v FROM (SELECT row_number() OVER () AS i, * FROM part)) GROUP BY 1, 2"
+    return f"SELECT {', '.join(f'coalesce(m[{i}], 0.0)::DOUBLE AS hashed_{i}' for i in range(1024))} FROM (SELECT i, map(list(b), list(s)) AS m FROM ({sums}) GROUP BY i)"
+
+
+add("feature_hasher_wide", _hasher_wide, _hasher_wide_sql())
 add(
     "rare_category_grouper",
     lambda spark, sf: Q.RareCategoryGrouper(["p_type"], min_frequency=0.1667).fit_transform(read_table(spark, sf, "part").select("p_partkey", "p_type")),
@@ -262,6 +283,13 @@ add(
     lambda spark, sf: Q.ConstantColumnRemover().fit_transform(read_table(spark, sf, "nation").select("n_nationkey", F.lit("x").alias("c"), "n_name")),
     "SELECT n_nationkey, n_name FROM nation",
 )
+add(
+    "constant_column_remover_keeps_nulls",
+    lambda spark, sf: Q.ConstantColumnRemover(ignore_nulls=False).fit_transform(
+        read_table(spark, sf, "nation").select("n_nationkey", F.lit("x").alias("c"), F.lit(None).cast("double").alias("none"), F.when(F.col("n_nationkey") > 3, 1.0).alias("some"))
+    ),
+    "SELECT n_nationkey, CAST(NULL AS DOUBLE) AS none, CASE WHEN n_nationkey > 3 THEN 1.0::DOUBLE END AS some FROM nation",
+)
 add(
     "duplicate_column_remover",
     lambda spark, sf: Q.DuplicateColumnRemover().fit_transform(read_table(spark, sf, "nation").select("n_nationkey", F.col("n_nationkey").alias("again"), "n_name")),
@@ -313,6 +341,11 @@ def _series(make, digits=6) -> Query:
 
 
 add("lagger", _series(lambda: Q.Lagger("value", [1, -1], **_BY)), f"SELECT event_id, {r(f'lag(value, 1) OVER ({_W})', 'value_lag_1')}, {r(f'lead(value, 1) OVER ({_W})', '\"value_lag_-1\"')} FROM events")
+add(
+    "lagger_of_a_lag",
+    lambda spark, sf: rounded(Q.Lagger(["value", "value_lag_1"], 1, **_BY).fit_transform(events(spark, sf).withColumn("value_lag_1", F.lit(0.0))).select("event_id", "value_lag_1", "value_lag_1_lag_1")),
+    f"SELECT event_id, {r(f'lag(value, 1) OVER ({_W})', 'value_lag_1')}, {r(f'lag(value, 2) OVER ({_W})', 'value_lag_1_lag_1')} FROM events",
+)
 add("difference", _series(lambda: Q.Difference("value", 2, **_BY)), f"SELECT event_id, {r(f'value - lag(value, 2) OVER ({_W})', 'value_diff_2')} FROM events")
 add("pct_change", _series(lambda: Q.Difference("value", 1, pct=True, **_BY), 4), f"WITH x AS (SELECT event_id, value, lag(value) OVER ({_W}) AS p FROM events) SELECT event_id, {r('CASE WHEN abs(p) > 2.220446049250313e-16 THEN (value - p) / p END', 'value_pct_1', 4)} FROM x")
 _AGG = {"mean": "avg", "std": "stddev_pop", "min": "min", "max": "max", "sum": "sum"}
@@ -390,7 +423,7 @@ def _twins(spark, sf):
 
 
 add("correlation_threshold", lambda spark, sf: rounded(Q.CorrelationThreshold(0.95).fit_transform(_twins(spark, sf))), "SELECT " + ", ".join(r(c, c) for c in NUM) + " FROM lineitem")
-add("correlation_threshold_spearman", lambda spark, sf: rounded(Q.CorrelationThreshold(0.95, "spearman").fit_transform(_twins(spark, sf).select("k", "l_quantity", "l_discount", "twice"))), f"SELECT {r('l_quantity', 'l_quantity')}, {r('l_discount', 'l_discount')} FROM lineitem")
+add("correlation_threshold_spearman", lambda spark, sf: rounded(Q.CorrelationThreshold(0.95, "spearman").fit_transform(_twins(spark, sf))), "SELECT " + ", ".join(r(c, c) for c in NUM) + " FROM lineitem")
 add("mutual_information", _scores(lambda: Q.MutualInformationSelector(2)))
 add("mutual_information_regression", _scores(lambda: Q.MutualInformationSelector(2, "regression")))
 
@@ -478,12 +511,12 @@ def _stream(spark, sf):
 
     batch = read_table(spark, sf, "events").select("event_id", "value")
     model = Q.StandardScaler().fit(batch)
-    name = f"quern_stream_{abs(hash(sf)) % 10**8}"
+    folder = f"{scratch(spark)}/quern-stream-{uuid.uuid4().hex}"
     stream = read_parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet*", read_table(spark, sf, "events").schema).select("event_id", "value")
-    run = transform_stream(model, stream).writeStream.format("memory").queryName(name).outputMode("append").start()
-    run.processAllAvailable()
-    run.stop()
-    return rounded(spark.table(name))
+    out = transform_stream(model, stream)
+    run = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.schema(out.schema).parquet(f"{folder}/rows"))
 
 
 add("streaming_standard_scaler", _stream, f"SELECT event_id, {r('(value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events)', 'value')} FROM events")

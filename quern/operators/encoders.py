@@ -302,7 +302,8 @@ class Buckets(Model):
     def required(self):
         return [(c, T.StringType) for c in self.columns]
 
-    def outputs(self, schema):
+    def prepare(self, df):
+        """Each row's sums by bucket, once: a map of at most as many entries as there are columns."""
         hashed = []
         for c in self.columns:
             if self.fast:
@@ -310,16 +311,17 @@ class Buckets(Model):
             else:
                 b = F.pmod(F.conv(F.substring(F.md5(q(c).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(self.n))
                 s = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("sign:"), q(c)).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(2))
-            hashed.append(F.when(q(c).isNotNull(), F.struct(b.alias("b"), F.when(s == 0, 1.0).otherwise(-1.0).alias("s"))))
-        cells = F.array(*hashed)
-        out = []
-        for i in range(self.n):
-            out.append((f"hashed_{i}", F.aggregate(F.filter(cells, _in_bucket(i)), num(0), lambda a, x: a + x["s"])))
-        return out
+            hashed.append(F.when(q(c).isNotNull(), F.struct(b.cast("int").alias("b"), F.when(s == 0, 1.0).otherwise(-1.0).alias("s"))))
+        cells = df.withColumn(_CELLS, F.filter(F.array(*hashed), lambda x: x.isNotNull()))
+        kinds = F.array_distinct(F.transform(_CELLS, lambda x: x["b"]))
+        sums = F.transform(kinds, lambda b: F.aggregate(F.filter(_CELLS, lambda x: x["b"] == b), num(0), lambda a, x: a + x["s"]))
+        return cells.withColumn(_CELLS, F.map_from_arrays(kinds, sums))
+
+    def outputs(self, schema):
+        return [(f"hashed_{i}", F.coalesce(F.try_element_at(q(_CELLS), F.lit(i)), num(0))) for i in range(self.n)]
 
 
-def _in_bucket(i: int):
-    return lambda cell: cell["b"] == i
+_CELLS = "__hashed_cells"
 
 
 class FeatureHasher(Estimator):

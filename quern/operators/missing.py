@@ -93,7 +93,7 @@ class MissingIndicator(Estimator):
 
 
 class ConstantColumnRemover(Estimator):
-    """Drops columns with at most one distinct value; with ``ignore_nulls=False`` nulls count as a value."""
+    """Drops columns with at most one distinct value; with ``ignore_nulls=False`` a column with any null stays, an all-null one too."""
 
     def __init__(self, ignore_nulls: bool = True):
         self.ignore_nulls = ignore_nulls
@@ -112,11 +112,11 @@ class ConstantColumnRemover(Estimator):
             c = q(f.name)
             key = F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType,)) else c
             key = F.when(c.isNotNull(), key)
-            aggs += [F.min(key).eqNullSafe(F.max(key)).alias(f"c{i}"), F.max(c.isNull()).alias(f"n{i}"), F.count(c).alias(f"k{i}")]
+            aggs += [F.min(key).eqNullSafe(F.max(key)).alias(f"c{i}"), F.max(c.isNull()).alias(f"n{i}")]
         row = df.agg(*aggs).first()
         same = set()
         for i, c in enumerate(df.columns):
-            if row[f"c{i}"] and (self.ignore_nulls or not row[f"n{i}"] or not row[f"k{i}"]):
+            if row[f"c{i}"] and (self.ignore_nulls or not row[f"n{i}"]):
                 same.add(c)
         return same
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quern.base import Estimator, InPlace, Model, chosen, doubles, no_collision, non_empty, replaced
 from quern.errors import Computation, InvalidInput
@@ -307,6 +308,41 @@ def lloyd(values: list[tuple[float, int]], k: int, rounds: int = 100) -> list[fl
     return [x[0], *((a + b) / 2 for a, b in zip(centers, centers[1:], strict=False)), x[-1]]
 
 
+_DRIVER_VALUES = 50_000  # distinct values up to which k-means runs on the driver
+
+
+def kmeans_edges(df: DataFrame, name: str, k: int, rounds: int = 100, most: int = _DRIVER_VALUES) -> list[float]:
+    """The same bins for any number of distinct values: beyond ``most`` every round is one aggregate over them."""
+    counts = df.select(finite(q(name)).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("w")).repartitionByRange("x")
+    counts = counts.withColumn("p", F.spark_partition_id()).persist()
+    try:
+        per = {r.p: r for r in counts.groupBy("p").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+        n = sum(r.n for r in per.values())
+        if n <= max(most, k):
+            return lloyd(sorted((r.x, r.w) for r in counts.select("x", "w").toLocalIterator()), k, rounds)
+        wanted, seen = [], 0  # of the first centers: partition and place there
+        for p in sorted(per):
+            wanted += [(p, i * (n - 1) // (k - 1) - seen + 1) for i in range(k) if seen <= i * (n - 1) // (k - 1) < seen + per[p].n] if k > 1 else []
+            seen += per[p].n
+        place = F.row_number().over(Window.partitionBy("p").orderBy("x"))
+        hit = F.lit(False)
+        for p, i in wanted:
+            hit = hit | ((F.col("p") == p) & (F.col("i") == i))
+        centers = sorted(r.x for r in counts.withColumn("i", place).where(hit).collect())
+        low, high = min(r.lo for r in per.values()), max(r.hi for r in per.values())
+        for _ in range(rounds):
+            gaps = F.array(*[F.abs(F.col("x") - F.lit(c)) for c in centers])
+            sums = {r.o: r for r in counts.groupBy(F.array_position(gaps, F.array_min(gaps)).alias("o")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("t")).collect()}
+            new = [sums[i + 1].t / sums[i + 1].w if i + 1 in sums else c for i, c in enumerate(centers)]
+            moved, centers = max(abs(a - b) for a, b in zip(new, centers, strict=True)), new
+            if moved <= 1e-12 * max(abs(low), abs(high)):
+                break
+        centers = sorted(set(centers))
+        return [low, *((a + b) / 2 for a, b in zip(centers, centers[1:], strict=False)), high]
+    finally:
+        counts.unpersist()
+
+
 class Bins(Model):
     def __init__(self, edges: dict[str, list[float]], encode: str):
         self.edges, self.encode = edges, encode
@@ -359,8 +395,7 @@ class KBinsDiscretizer(Estimator):
             if self.strategy == "uniform":
                 edges[c] = [lo + (hi - lo) * i / k for i in range(k)] + [hi]
             elif self.strategy == "kmeans":
-                counts = df.select(finite(q(c)).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("w")).orderBy("x")
-                edges[c] = lloyd([(r.x, r.w) for r in counts.toLocalIterator()], k)
+                edges[c] = kmeans_edges(df, c, k)
             edges[c] = sorted(set(edges[c]))
         model = Bins(edges, self.encode)
         if self.encode == "onehot-drop-first":

@@ -170,6 +170,32 @@ def average_ranks(df: DataFrame, name: str, out: str, hold: Held) -> DataFrame:
     return df.join(ranks, q(name) == F.col("__v")).drop("__v")
 
 
+def rank_correlations(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Spearman correlation over the rows where both columns are finite.
+
+    Columns without gaps are ranked once each, and one aggregate correlates all pairs of them; a pair with a gap has rows
+    of its own, and so ranks of its own.
+    """
+    clean = df.select(*[finite(q(c)).alias(f"v{i}") for i, c in enumerate(cols)])
+    row = clean.agg(F.count("*").alias("all"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    whole = {c: f"v{i}" for i, c in enumerate(cols) if row[f"n{i}"] == row["all"]}
+    both = [(a, b) for a, b in pairs if a in whole and b in whole]
+    out: dict[tuple[str, str], float] = {}
+    with Held() as hold:
+        if both:
+            ranked = clean.select(*whole.values())
+            for v in whole.values():
+                ranked = average_ranks(ranked, v, f"r{v}", hold)
+            found = pair_correlations(ranked, [(f"r{whole[a]}", f"r{whole[b]}") for a, b in both])
+            out.update({(a, b): found[f"r{whole[a]}", f"r{whole[b]}"] for a, b in both})
+        for a, b in pairs:
+            if (a, b) not in out:
+                rows = df.select(finite(q(a)).alias("x"), finite(q(b)).alias("y")).where("x is not null and y is not null")
+                ranked = average_ranks(average_ranks(rows, "x", "rx", hold), "y", "ry", hold)
+                out[a, b] = pair_correlations(ranked, [("rx", "ry")])["rx", "ry"]
+    return out
+
+
 class CorrelationThreshold(Estimator):
     """Keeps columns in order, dropping each whose correlation with a kept one reaches the threshold in magnitude."""
 
@@ -189,12 +215,7 @@ class CorrelationThreshold(Estimator):
         if self.method == "pearson":
             r = pair_correlations(df, pairs)
         else:
-            r = {}
-            for a, b in pairs:
-                rows = df.select(finite(q(a)).alias("x"), finite(q(b)).alias("y")).where("x is not null and y is not null")
-                with Held() as hold:
-                    ranked = average_ranks(average_ranks(rows, "x", "rx", hold), "y", "ry", hold)
-                    r[a, b] = pair_correlations(ranked, [("rx", "ry")])["rx", "ry"]
+            r = rank_correlations(df, cols, pairs)
         kept: list[str] = []
         for c in cols:
             if not any(abs(r[k, c]) >= self.threshold for k in kept):

@@ -63,7 +63,11 @@ class Ordered(Estimator):
 
 
 class Lagger(Ordered):
-    """``{c}_lag_{p}``: the value p rows earlier (later, if p is negative), of any type."""
+    """``{c}_lag_{p}``: the value p rows earlier (later, if p is negative), of any type.
+
+    New columns are built in order and replace ones of their name, so that a later lag of such a name reads what an
+    earlier one built.
+    """
 
     kind = None
 
@@ -76,7 +80,20 @@ class Lagger(Ordered):
         if not self.periods or len(set(self.periods)) < len(self.periods):
             raise InvalidInput("periods must be given and distinct")
         cols, periods = self.columns, self.periods
-        return Series(self, lambda w: [(f"{c}_lag_{p}", F.lag(q(c), p).over(w)) for c in cols for p in periods])
+        built: dict[str, tuple[str, tuple[int, ...]]] = {}  # what a name stands for: a column of the frame, shifted in turn
+        for c in cols:
+            base, shifts = built.get(c, (c, ()))
+            for p in periods:
+                built[f"{c}_lag_{p}"] = base, (*shifts, p)
+        return Series(self, lambda w: [(name, _shifted(base, shifts, w)) for name, (base, shifts) in built.items()])
+
+
+def _shifted(base: str, shifts: tuple[int, ...], w: WindowSpec) -> Column:
+    """A column shifted several times: null as soon as one shift leaves the rows."""
+    out = F.lag(q(base), sum(shifts)).over(w)
+    for k in range(1, len(shifts)):
+        out = F.when(F.lag(F.lit(True), sum(shifts[k:])).over(w), out)
+    return out
 
 
 class Difference(Ordered):

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -405,3 +406,25 @@ def test_plan_is_one_projection(spark, sf_dir):
     model = Q.Pipeline([("z", Q.ColumnTransformer([("s", Q.StandardScaler(), ["l_quantity"])], "passthrough")), ("b", Q.ColumnTransformer([("m", Q.Binarizer(0.0), ["l_tax"])], "passthrough"))]).fit(df)
     plan = model.transform(df).where("l_orderkey = 7").select("l_quantity")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_orderkey,7)" in plan and "l_comment" not in plan and "Exchange" not in plan and plan.count("Project") == 1
+
+
+def test_kmeans_of_many_values_is_that_of_few(spark):
+    from quern.operators.nonlinear import kmeans_edges, lloyd
+
+    rng = np.random.default_rng(3)
+    x = np.round(np.concatenate([rng.normal(0, 1, 800), rng.normal(9, 2, 500), rng.normal(30, 1, 200)]), 2)
+    df = frame(spark, [*x.tolist(), None])
+    v, n = np.unique(x, return_counts=True)
+    for k in (2, 3, 5):
+        want = lloyd(list(zip(v.tolist(), n.tolist(), strict=True)), k)
+        name = "x"
+        assert kmeans_edges(df, name, k) == want
+        assert kmeans_edges(df, name, k, most=10) == pytest.approx(want, abs=1e-9)
+
+
+def test_lag_of_a_lag_and_back(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(4)], "i int, v double")
+    got = Q.Lagger(["v", "v_lag_-1"], [-1, 1], "i").fit_transform(df.withColumn("v_lag_-1", F.lit(7.0))).orderBy("i").collect()
+    assert [r["v_lag_-1"] for r in got] == [1.0, 2.0, 3.0, None]
+    assert [r["v_lag_-1_lag_1"] for r in got] == [None, 1.0, 2.0, 3.0]
+    assert [r["v_lag_-1_lag_-1"] for r in got] == [2.0, 3.0, None, None]
