@@ -17,7 +17,7 @@ _BITS = 21  # of a letter; a trigram's key is exact
 _ONE, _TWO = np.int64((1 << _BITS) - 1), np.int64((1 << 2 * _BITS) - 1)
 _SMALL = 128  # symbols under this are counted in a table, trigrams of any other by sorting
 _TABLE: np.ndarray | None = None
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 def _table() -> np.ndarray:
@@ -195,9 +195,9 @@ def _counts(df: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]
                 x = x.as_py()
                 wait.setdefault(x, []).append(k := trigrams(t.as_py()))
                 size[x] = size.get(x, 0) + len(k)
-                if size[x] >= _CHUNK:
+                if size[x] >= 1 << 20:
                     pour(x)
-                    if x in rare and len(rare[x][0]) > _CHUNK:  # a task's memory is bounded: the counts meet again later
+                    if x in rare and len(rare[x][0]) > 1 << 20:  # a task's memory is bounded: the counts meet again later
                         yield out(x, *rare.pop(x))
         for x in list(wait):
             pour(x)

@@ -30,7 +30,7 @@ class WordTokenizer:
     or with a special token's text, go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, size: int = 1 << 19):
+    def __init__(self, path: str, size: int = 1 << 18):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

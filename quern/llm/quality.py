@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 LOG2 = 18
 SIZE = 1 << LOG2
 _SHAPES: np.ndarray | None = None
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _RUN = 8  # words
 
 
@@ -106,7 +106,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     return w, b
 
 
-def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int = 6000, smooth: float = 1.0, key: str | None = None) -> QualityModel:
+def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int = 4000, smooth: float = 1.0, key: str | None = None) -> QualityModel:
     """Learn from labelled rows (label 0 or 1; other rows are not looked at).
 
     The log-count ratios cover all labelled rows (at most 2^18 sums reach the driver). The hinge-loss model is fitted on
@@ -152,9 +152,10 @@ def fit(df: DataFrame, label: str = "quality", text: str = "text", sample: int =
 
     got = few.mapInArrow(show, "y int, f binary").toArrow()
     pairs = sorted(zip(got["y"].to_pylist(), got["f"].to_pylist(), strict=True), key=lambda x: (x[1], x[0]))
+    del got
     f = [np.frombuffer(x[1], np.int32) for x in pairs]
     y = np.array([1.0 if x[0] else -1.0 for x in pairs])
-    v = [r / max(np.sqrt((r * r).sum()), 1e-12) for r in (ratio[i] for i in f)]
+    v = [(r / max(np.sqrt((r * r).sum()), 1e-12)).astype(np.float32) for r in (ratio[i] for i in f)]
     # margins of rows that the weights have not seen, by threefold cross-fitting, for the sigmoid
     part, m = np.random.default_rng(11).permutation(len(f)) % 3, np.zeros(len(f))
     for k in range(3):
