@@ -11,14 +11,23 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import ship as _ship
 
 __all__ = ["ascii_lower", "ascii_lower_py", "documents", "fold", "fold_py", "forget", "settle", "shared_dir", "ship", "table"]
 
 _OWN_DIR: str | None = None
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors. Whole texts are long rows: where the session has Spark's own number of rows a batch
+    (10,000), 1,000 go to Python at once, so that a batch stays a few megabytes on both sides."""
+    _ship(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``). Where that is unset: a temporary one for a local master, which
     is one machine; an error on a cluster, whose executors could not read it."""

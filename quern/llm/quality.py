@@ -202,13 +202,15 @@ def score(df: DataFrame, model: QualityModel, key: str | Column = "doc_id", text
     rows) get equal scores; columns that are not in ``keep`` are not read; an empty table gives no rows.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
+    own = text in keep  # then the text goes to Python once
+    at, width = 1 + keep.index(text) if own else 1 + len(keep), 1 + len(keep)
 
     def run(batches):
         m = held.value
         for b in batches:
-            s = pa.array([m.score(t.as_py()) for t in b.column(b.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "quality_score"])
+            s = pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], s], names=[*b.schema.names[:width], "quality_score"])
 
-    src = df.select(key, *keep, F.col(text).alias("__text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    src = df.select(key, *keep, *([] if own else [F.col(text).alias("__text")]))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:width])
     return src.mapInArrow(run, f"{shape}, quality_score double")
