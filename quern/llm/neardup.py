@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,8 +16,10 @@ from quern.llm.decontam import _windows
 
 WIDTH = 5
 NUM, DEN = 4, 5  # the similarity, 0.8, as a fraction
-_BITS = 22  # log2 of the buckets in which shingles are counted and nodes are marked
-_SHIFT = np.uint64(64 - _BITS)
+_BITS = 22  # log2 of the buckets in which nodes are marked
+_COUNTED = 23  # log2 of the buckets in which shingles are counted
+_PART = 16  # log2 of the buckets whose counts travel together
+_SHIFT = np.uint64(64 - _COUNTED)
 _CHUNK = 1 << 18  # bytes of texts that are cut into words at once
 _LONG = 1 << 16  # bytes from which a word is hashed by itself
 _BLOCK = 128  # members of a family that meet others in one task
@@ -123,26 +127,49 @@ def _node(s: np.ndarray) -> int:
 
 
 def _first_pass(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Two kinds of rows: ``key`` and ``node`` of every text; ``bucket`` and ``n`` of the buckets of shingles that stand out
-    in a partition (they only order shingles, any order is right)."""
+    """Two kinds of rows: ``key`` and ``node`` of every text; ``part`` and ``counts``, in how many sets of a partition the
+    shingles of each bucket are (255 at most: they only order shingles, any order is right)."""
     kind = df.schema[key].dataType
 
     def run(batches):
-        counts, total, last = np.zeros(1 << _BITS, np.uint32), 0, None
+        counts, last = np.zeros(1 << _COUNTED, np.uint16), None
         for b in batches:
             nodes = []
             for s in shingle_sets(b.column(1)):
-                counts[(s >> _SHIFT).astype(np.int64)] += 1
-                total += len(s)
+                at = (s >> _SHIFT).astype(np.int64)
+                counts[at] = np.minimum(counts[at], 254) + np.uint16(1)
                 nodes.append(_node(s))
             last = b.schema.field(0).type
-            none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), none, none], names=["key", "node", "bucket", "n"])
+            none = pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), *none], names=["key", "node", "part", "counts"])
         if last is not None:
-            top = np.flatnonzero(counts >= max(4, 8 * total >> _BITS))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(top), last), pa.nulls(len(top), pa.int64()), pa.array(top, pa.int64()), pa.array(counts[top], pa.int64())], names=["key", "node", "bucket", "n"])
+            parts = counts.astype(np.uint8).reshape(-1, 1 << _PART)
+            at = np.flatnonzero(parts.any(axis=1))
+            packed = [zlib.compress(parts[i].tobytes(), 1) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), last), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["key", "node", "part", "counts"])
+
+    return df.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, node bigint, part int, counts binary")
+
+
+def _ranks(counts: DataFrame) -> np.ndarray:
+    """For each bucket eight times the binary logarithm of its count over all partitions, 255 at most."""
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            for part, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = np.frombuffer(zlib.decompress(packed), np.uint8)
+                if part in sums:
+                    sums[part] += n
+                else:
+                    sums[part] = n.astype(np.uint32)
+        ranks = [np.minimum(255, 8 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], names=["part", "ranks"])
 
-    return df.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, node bigint, bucket bigint, n bigint")
+    out = np.zeros((1 << _COUNTED - _PART, 1 << _PART), np.uint8)
+    for r in counts.repartition("part").mapInArrow(run, "part int, ranks binary").collect():
+        out[r.part] = np.frombuffer(r.ranks, np.uint8)
+    return out.reshape(-1)
 
 
 def _table(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -218,19 +245,16 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(cc, "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def links(df: DataFrame, counts: DataFrame, text: str = "text", hot: int = 64) -> DataFrame:
+def links(df: DataFrame, ranks: np.ndarray, text: str = "text", hot: int = 64) -> DataFrame:
     """Links ``a``, ``b`` of nodes (distinct shingle sets) that have the components of all pairs of similarity >= 0.8.
 
     Two sets of that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any one order. The
-    order takes rare shingles first, by a table of counts of fixed size, so that common passages are not met in lists. Pairs that
+    order takes rare shingles first, by the ``ranks`` of :func:`_ranks`, so that common passages are not met in lists. Pairs that
     meet are filtered by their sizes and the number of such shingles they share, and verified on whole sets.
 
     Lists of over ``hot`` members are not paired: see :func:`_hot_links`.
     """
     spark = df.sparkSession
-    at, n = _table(counts.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 16"))
-    ranks = np.zeros(1 << _BITS, np.uint8)
-    ranks[at] = np.minimum(255, 8 * np.log2(np.maximum(n, 1))).astype(np.uint8)
     table = spark.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -359,9 +383,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int
     so that exact copies never meet in pairs. Other columns are not read; an empty table gives no rows.
     """
     first = settle(_first_pass(df, key, text))
-    rows = first.where("bucket is null").select("key", "node")
+    rows = settle(first.where("part is null").select("key", "node"))
+    ranks = _ranks(first.where("part is not null").select("part", "counts"))
+    forget(first)
     nodes = settle(rows.groupBy("node").agg(F.min("key").alias("low")))
-    found = links(df, first.where("bucket is not null").select("bucket", "n"), text, hot)
+    found = links(df, ranks, text, hot)
     nodes = settle(_labelled(nodes, found))
     low = nodes.groupBy("c").agg(F.min("low").alias("component_id"))
     named = settle(nodes.join(low, "c").select("node", "component_id"))

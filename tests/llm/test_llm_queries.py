@@ -174,3 +174,17 @@ def test_hot_families_by_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for hot in (64, 8):
         assert {r.doc_id: r.component_id for r in neardup.near_groups(df, hot=hot).collect()} == groups(range(len(texts)), pairs)
+
+
+def test_common_shingles_thin_in_every_partition_make_no_lists(spark, monkeypatch):
+    """Passages of 160 texts, two in each partition, are known as common: they come last in every prefix, so no list is long."""
+    from quern.llm import neardup
+
+    def fail(*_):
+        raise AssertionError("a list of common shingles was met")
+
+    monkeypatch.setattr(neardup, "_hot_links", fail)
+    common = " ".join(f"c{k}" for k in range(16))
+    texts = [(i, f"{common} " + " ".join(f"u{i}-{k}" for k in range(20))) for i in range(160)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(texts, 80), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(df, hot=16).collect()} == {i: i for i in range(160)}
