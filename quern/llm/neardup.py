@@ -1,4 +1,4 @@
-"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, complete by prefix filtering."""
+"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: by SimHash fingerprints, complete by prefix filtering."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.common import forget, settle
 from quern.llm.components import connected_components
 from quern.llm.decontam import _windows
@@ -126,29 +127,37 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)) if len(s) else 0
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """64-bit SimHash of a set: bit i is set if it is set in over half of the shingles' hashes; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), _CHUNK):
+        ones += np.unpackbits(s[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(s)).view(">i8")[0])
+
+
 def _first_pass(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Two kinds of rows: ``key`` and ``node`` of every text; ``part`` and ``counts``, in how many sets of a partition the
+    """Two kinds of rows: ``key``, ``node`` and fingerprint ``fp`` of every text; ``part`` and ``counts``, in how many sets of a partition the
     shingles of each bucket are (255 at most: they only order shingles, any order is right)."""
     kind = df.schema[key].dataType
 
     def run(batches):
-        counts, last = np.zeros(1 << _COUNTED, np.uint16), None
+        counts, last, names = np.zeros(1 << _COUNTED, np.uint16), None, ["key", "node", "fp", "part", "counts"]
         for b in batches:
-            nodes = []
+            nodes, fps = [], []
             for s in shingle_sets(b.column(1)):
                 at = (s >> _SHIFT).astype(np.int64)
                 counts[at] = np.minimum(counts[at], 254) + np.uint16(1)
-                nodes.append(_node(s))
+                nodes.append(_node(s)), fps.append(_fingerprint(s))
             last = b.schema.field(0).type
             none = pa.nulls(len(nodes), pa.int32()), pa.nulls(len(nodes), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), *none], names=["key", "node", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), *none], names=names)
         if last is not None:
             parts = counts.astype(np.uint8).reshape(-1, 1 << _PART)
             at = np.flatnonzero(parts.any(axis=1))
             packed = [zlib.compress(parts[i].tobytes(), 1) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), last), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["key", "node", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), last), *[pa.nulls(len(at), pa.int64())] * 2, pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return df.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, node bigint, part int, counts binary")
+    return df.select(key, text).mapInArrow(run, f"key {kind.simpleString()}, node bigint, fp bigint, part int, counts binary")
 
 
 def _ranks(counts: DataFrame) -> np.ndarray:
@@ -245,9 +254,32 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(cc, "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def links(df: DataFrame, ranks: np.ndarray, text: str = "text", hot: int = 64) -> DataFrame:
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes whose fingerprints differ in at most 3 bits, by the inverted index over positional bytes,
+    the tally and the check of bits of :mod:`quern.llm.simhash`. Nodes of one fingerprint are paired with its smallest
+    node only, and that stands for them towards other fingerprints."""
+    hubs = settle(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("m")))
+    same = nodes.join(hubs.where("m > 1"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = settle(simhash.links(hubs.select("fp")))
+    ends = [hubs.select(F.col("fp").alias(e), F.col("hub").alias(f"{e}_hub")) for e in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("a_hub", "b_hub").alias("a"), F.greatest("a_hub", "b_hub").alias("b"))
+    return settle(same.union(near))
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose ends the links known so far do not join already."""
+    cc = settle(connected_components(known))
+    for e in "ab":
+        pairs = pairs.join(cc.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")), e, "left")
+    return settle(pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+
+
+def links(df: DataFrame, ranks: np.ndarray, nodes: DataFrame, text: str = "text", hot: int = 64) -> DataFrame:
     """Links ``a``, ``b`` of nodes (distinct shingle sets) that have the components of all pairs of similarity >= 0.8.
 
+    Near fingerprints (``nodes``: ``node`` and ``fp``) make the first pairs, verified on whole sets. As 3 bits reach but some
+    of the similar pairs, an index of shingles finds the others; those that fingerprints have joined are not verified again.
+
     Two sets of that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of each in any one order. The
     order takes rare shingles first, by the ``ranks`` of :func:`_ranks`, so that common passages are not met in lists. Pairs that
     meet are filtered by their sizes and the number of such shingles they share, and verified on whole sets.
@@ -290,13 +322,16 @@ def links(df: DataFrame, ranks: np.ndarray, text: str = "text", hot: int = 64) -
     cool = settle(busy.join(sizes, "g", "left_anti")) if heated else busy
     pairs = settle(_tallied(_meet(cool, cool, F.col("x.node") < F.col("y.node")), many))
     forget(cool)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    close = _near_fingerprints(nodes)
+    wanted = pairs.union(close).select(F.explode(F.array("a", "b")).alias("node"))
     wanted = settle((wanted.union(many.select("node")) if heated else wanted).distinct())
     sets = _sets(df, text, wanted)
-    out = _verified(sets, pairs)
+    out = _verified(sets, close)
+    rest = _apart(pairs, out)
+    out = settle(out.union(_verified(sets, rest)))
     if heated:
         out = settle(out.union(_hot_links(many, sets, out, hot)).distinct())
-    for used in (pairs, wanted, sets, busy, sizes, many):
+    for used in (pairs, close, rest, wanted, sets, busy, sizes, many):
         if used is not None:
             forget(used)
     return out
@@ -383,11 +418,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", hot: int
     so that exact copies never meet in pairs. Other columns are not read; an empty table gives no rows.
     """
     first = settle(_first_pass(df, key, text))
-    rows = settle(first.where("part is null").select("key", "node"))
+    rows = settle(first.where("part is null").select("key", "node", "fp"))
     ranks = _ranks(first.where("part is not null").select("part", "counts"))
     forget(first)
-    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("low")))
-    found = links(df, ranks, text, hot)
+    nodes = settle(rows.groupBy("node").agg(F.min("key").alias("low"), F.first("fp").alias("fp")))
+    found = links(df, ranks, nodes.where("node <> 0").select("node", "fp"), text, hot)
     nodes = settle(_labelled(nodes, found))
     low = nodes.groupBy("c").agg(F.min("low").alias("component_id"))
     named = settle(nodes.join(low, "c").select("node", "component_id"))

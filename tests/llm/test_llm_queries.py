@@ -188,3 +188,45 @@ def test_common_shingles_thin_in_every_partition_make_no_lists(spark, monkeypatc
     texts = [(i, f"{common} " + " ".join(f"u{i}-{k}" for k in range(20))) for i in range(160)]
     df = spark.createDataFrame(spark.sparkContext.parallelize(texts, 80), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_groups(df, hot=16).collect()} == {i: i for i in range(160)}
+
+
+def test_near_dedup_links_fingerprints_first(spark, monkeypatch):
+    """SimHash fingerprints of the shingle sets, linked at 3 bits as by brute force, come first; the index of shingles adds only what they leave apart."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from test_llm_operators import groups
+
+    from quern.llm import neardup
+
+    rng = random.Random(8)
+    texts = []
+    for size in (40, 200, 600):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for changes in (0, 0, 1, 1, 2, 3, 4):
+            w = list(base)
+            for at in rng.sample(range(size), changes):
+                w[at] = f"e{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    sets = list(neardup.shingle_sets(pa.array(texts)))
+    fps = [neardup._fingerprint(s) & (1 << 64) - 1 for s in sets]
+    for s, fp in zip(sets, fps, strict=True):
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    assert neardup._fingerprint(np.zeros(0, np.uint64)) == 0
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if 9 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 4 * (len(sets[i]) + len(sets[j]))]
+    label, whole = groups(range(len(texts)), [p for p in near if p in like]), groups(range(len(texts)), like)
+    assert label != whole and len({*label.values()}) < len({neardup._node(s) for s in sets})
+    node = {neardup._node(s): i for i, s in reversed([*enumerate(sets)])}
+    calls, verified = [], neardup._verified
+
+    def spy(sets, pairs):
+        calls.append([(node[r.a], node[r.b]) for r in pairs.collect()])
+        return verified(sets, pairs)
+
+    monkeypatch.setattr(neardup, "_verified", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_groups(df).collect()} == whole
+    assert calls[0] and all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in calls[0])
+    assert calls[1] and all(label[a] != label[b] for a, b in calls[1])
