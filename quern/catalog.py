@@ -226,8 +226,8 @@ _BRANDS = ["p_brand", "p_type"]
 
 
 def _hasher_wide(spark, sf):
-    """1024 buckets of 100 columns."""
-    part = read_table(spark, sf, "part")
+    """1024 buckets of 100 columns. A Parquet row group is one task, which is long for so many cells: rows are dealt out first."""
+    part = read_table(spark, sf, "part").select(*_BRANDS).repartition(2 * spark.sparkContext.defaultParallelism)
     wide = part.select(*[F.concat(F.col(_BRANDS[i % 2]), F.lit(f"/{i}")).alias(f"c{i}") for i in range(100)])
     return Q.FeatureHasher(wide.columns, 1024).fit_transform(wide)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,6 +298,32 @@ class LeaveOneOutEncoder(Estimator):
         return self.model.transform_unseen(df)
 
 
+def _hashed(values: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs of distinct binary values, by two MD5 hashes."""
+    md5 = [(hashlib.md5(v).digest(), hashlib.md5(b"sign:" + v).digest()) for v in values.to_pylist()]
+    return np.array([int.from_bytes(h[:4], "big") % n for h, _ in md5], np.int64), np.array([1 - 2 * (s[3] & 1) for _, s in md5], np.int64)
+
+
+def _dense(cells: pa.Array, columns: int, n: int, small: str) -> pa.Array:
+    """Sums of the signs by bucket, ``n`` a row. ``cells`` are lists of ``columns`` binary values, or of 2 * bucket + (sign < 0)."""
+    flat, rows = cells.flatten(), len(cells)
+    if pa.types.is_integer(flat.type):
+        code = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        bucket, sign = code >> 1, 1 - 2 * (code & 1)
+    else:
+        coded = flat.dictionary_encode()
+        at = coded.indices.fill_null(0).to_numpy(zero_copy_only=False)
+        buckets, signs = _hashed(coded.dictionary, n)
+        bucket, sign = (buckets[at], signs[at]) if len(buckets) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+    if flat.null_count:
+        sign = np.where(flat.is_null().to_numpy(zero_copy_only=False), 0, sign)
+    out = np.zeros((rows, n), small)
+    bucket, sign, row = bucket.reshape(rows, columns), sign.astype(small).reshape(rows, columns), np.arange(rows)
+    for i in range(columns):  # a column has one value a row, so no cell is met twice
+        out[row, bucket[:, i]] += sign[:, i]
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(n)), pa.array(out.reshape(-1)))
+
+
 class Buckets(Model):
     def __init__(self, columns, n, fast):
         self.columns, self.n, self.fast = columns, n, fast
@@ -303,22 +332,23 @@ class Buckets(Model):
         return [(c, T.StringType) for c in self.columns]
 
     def prepare(self, df):
-        """Each row's sums by bucket, once: a map of at most as many entries as there are columns."""
-        hashed = []
-        for c in self.columns:
-            if self.fast:
-                b, s = F.pmod(F.xxhash64(q(c)), F.lit(self.n)), F.pmod(F.xxhash64(F.concat(F.lit("sign:"), q(c))), F.lit(2))
-            else:
-                b = F.pmod(F.conv(F.substring(F.md5(q(c).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(self.n))
-                s = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("sign:"), q(c)).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(2))
-            hashed.append(F.when(q(c).isNotNull(), F.struct(b.cast("int").alias("b"), F.when(s == 0, 1.0).otherwise(-1.0).alias("s"))))
-        cells = df.withColumn(_CELLS, F.filter(F.array(*hashed), lambda x: x.isNotNull()))
-        kinds = F.array_distinct(F.transform(_CELLS, lambda x: x["b"]))
-        sums = F.transform(kinds, lambda b: F.aggregate(F.filter(_CELLS, lambda x: x["b"] == b), num(0), lambda a, x: a + x["s"]))
-        return cells.withColumn(_CELLS, F.map_from_arrays(kinds, sums))
+        """Each row's sums by bucket, once: an array of small numbers. Equal values of a batch are hashed once."""
+        if self.fast:
+            codes = [F.pmod(F.xxhash64(q(c)), F.lit(self.n)) * 2 + F.pmod(F.xxhash64(F.concat(F.lit("sign:"), q(c))), F.lit(2)) for c in self.columns]
+            cells = [F.when(q(c).isNotNull(), x) for c, x in zip(self.columns, codes, strict=True)]
+        else:
+            cells = [q(c).cast("binary") for c in self.columns]
+        small, kind = next((s, k) for most, s, k in ((127, "int8", "tinyint"), (32767, "int16", "smallint"), (math.inf, "int32", "int")) if len(cells) <= most)
+        columns, n = len(cells), self.n
+
+        @F.arrow_udf(f"array<{kind}>")
+        def dense(x: pa.Array) -> pa.Array:
+            return _dense(x, columns, n, small)
+
+        return df.withColumn(_CELLS, dense(F.array(*cells)))
 
     def outputs(self, schema):
-        return [(f"hashed_{i}", F.coalesce(F.try_element_at(q(_CELLS), F.lit(i)), num(0))) for i in range(self.n)]
+        return [(f"hashed_{i}", F.expr(f"coalesce(cast(get({_CELLS}, {i}) as double), 0D)")) for i in range(self.n)]
 
 
 _CELLS = "__hashed_cells"

@@ -174,6 +174,32 @@ def test_rare_cleaner_cyclical_hash(spark, colors):
     assert all(sum(map(abs, r)) in (0.0, 2.0) for r in hashed)
 
 
+@pytest.mark.parametrize("fast", [False, True])
+def test_wide_hash_is_linear_in_cells(spark, fast):
+    import hashlib
+
+    rows = [tuple(None if (i + j) % 7 == 0 else "" if (i + j) % 5 == 0 else f"é{(i * j) % 50}/{j}" for j in range(130)) for i in range(60)] + [(None,) * 130, ("same",) * 130]
+    df = spark.createDataFrame(rows, ", ".join(f"`c.{j}` string" for j in range(130))).coalesce(1)
+    out = Q.FeatureHasher(df.columns, 200, fast).fit_transform(df)
+    assert [f.name for f in out.schema] == [f"hashed_{i}" for i in range(200)] and {f.dataType.simpleString() for f in out.schema} == {"double"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "try_element_at" not in plan  # neither a pass over all cells for each bucket nor for each column
+    if fast:
+        values = {v for r in rows for v in r if v is not None}
+        hashes = spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", "pmod(xxhash64(v), 200L) b", "pmod(xxhash64('sign:' || v), 2L) s").collect()
+        known = {r.v: (r.b, -1.0 if r.s else 1.0) for r in hashes}
+    else:
+        word = lambda v: int(hashlib.md5(v.encode()).hexdigest()[:8], 16)
+        known = {v: (word(v) % 200, -1.0 if word("sign:" + v) % 2 else 1.0) for r in rows for v in r if v is not None}
+    want = []
+    for r in rows:
+        sums = [0.0] * 200
+        for b, s in (known[v] for v in r if v is not None):
+            sums[b] += s
+        want.append(tuple(sums))
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want) and max(max(map(abs, x)) for x in want) == 130.0
+
+
 def test_imputers(spark):
     df = frame(spark, [1.0, 3.0, 3.0, None, NAN])
     assert column(Q.SimpleImputer("median").fit_transform(df))[3:] == [3.0, 3.0]
