@@ -149,50 +149,69 @@ def snapped(n, vx, vy, cov) -> float:
     return math.copysign(1.0, r) if abs(abs(r) - 1) <= 1e-12 else min(1.0, max(-1.0, r))
 
 
-def average_ranks(df: DataFrame, name: str, out: str, hold: Held) -> DataFrame:
-    """``df`` with the average rank of a double column, without a global window.
+def average_ranks(df: DataFrame, name: str, out: str, hold: Held, *aggs) -> DataFrame:
+    """Each distinct ``__v`` of a double column with its number ``__n``, its average rank ``out`` and ``aggs`` over its rows.
 
-    Distinct values are counted and range-partitioned; one running sum per partition and the partitions' totals (as
-    many numbers as partitions) give every value its rank, which joins back by value.
+    There is no global window: distinct values are counted and range-partitioned; one running sum per partition and the
+    partitions' totals (as many numbers as partitions) give every value its rank.
     """
-    counts = df.groupBy(q(name).alias("__v")).agg(F.count("*").alias("__n")).repartitionByRange("__v")
+    counts = df.groupBy(q(name).alias("__v")).agg(F.count("*").alias("__n"), *aggs).repartitionByRange("__v")
     counts = hold(counts.withColumn("__p", F.spark_partition_id()))
     totals = {r["__p"]: r["t"] for r in counts.groupBy("__p").agg(F.sum("__n").alias("t")).collect()}
     before, seen = {}, 0
     for p in sorted(totals):
         before[p], seen = seen, seen + totals[p]
-    if not totals:
-        return df.withColumn(out, num(0))
-    start = F.create_map(*[F.lit(int(x)) for kv in before.items() for x in kv])
+    start = F.create_map(*[F.lit(int(x)) for kv in (before or {0: 0}).items() for x in kv])
     w = Window.partitionBy("__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.element_at(start, F.col("__p")) + F.sum("__n").over(w)
-    ranks = counts.select("__v", (upto - (F.col("__n") - 1) / 2.0).alias(out))
-    return df.join(ranks, q(name) == F.col("__v")).drop("__v")
+    return counts.withColumn(out, upto - (F.col("__n") - 1) / 2.0).drop("__p")
+
+
+def _ranked_pairs(rows: DataFrame, pairs: list[tuple[str, str]], distinct: dict[str, int], hold: Held) -> dict[tuple[str, str], float]:
+    """Spearman correlations of columns without gaps.
+
+    Columns with few values come first: their ranks, less the mean rank, join the rows (broadcast if small). The column
+    with most values is never joined: its pairs need only the other columns' sums of ranks for each of its values, which
+    one aggregate counts along with the values. The variances come from the counts of the values.
+    """
+    cols = sorted({c for p in pairs for c in p}, key=lambda c: (distinct[c], c))
+    n = rows.count()
+    mean, var, cov = (n + 1) / 2.0, {}, {}
+    moments = lambda t, *more: t.agg(F.sum(F.col("__n") * F.col("__r") * F.col("__r")).alias("s"), *more).first()
+    for c in cols[:-1]:
+        ranks = average_ranks(rows.select(c), c, "__k", hold).withColumn("__r", F.col("__k") - mean)
+        var[c] = moments(ranks)["s"]
+        rows = rows.join(ranks.select(F.col("__v"), F.col("__r").alias(f"r{c}")), q(c) == F.col("__v")).drop("__v", c)
+    last = cols[-1]
+    inner = [(a, b) for a, b in pairs if last not in (a, b)]
+    sums = [F.sum(f"r{c}").alias(f"r{c}") for c in cols[:-1]] + [F.sum(F.col(f"r{a}") * F.col(f"r{b}")).alias(f"p{i}") for i, (a, b) in enumerate(inner)]
+    ranks = average_ranks(rows, last, "__k", hold, *sums).withColumn("__r", F.col("__k") - mean)
+    row = moments(ranks, *[F.sum(F.col("__r") * F.col(f"r{c}")).alias(f"r{c}") for c in cols[:-1]], *[F.sum(f"p{i}").alias(f"p{i}") for i in range(len(inner))])
+    var[last] = row["s"]
+    cov = {p: row[f"p{i}"] for i, p in enumerate(inner)}
+    cov |= {(a, b): row[f"r{b if a == last else a}"] for a, b in pairs if last in (a, b)}
+    return {(a, b): snapped(n, var[a] / n, var[b] / n, cov[a, b] / n) if n > 1 else 0.0 for a, b in pairs}
 
 
 def rank_correlations(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
     """Spearman correlation over the rows where both columns are finite.
 
-    Columns without gaps are ranked once each, and one aggregate correlates all pairs of them; a pair with a gap has rows
-    of its own, and so ranks of its own.
+    Columns without gaps are ranked once each and correlated together; a pair with a gap has rows of its own, and so ranks
+    of its own.
     """
     clean = df.select(*[finite(q(c)).alias(f"v{i}") for i, c in enumerate(cols)])
-    row = clean.agg(F.count("*").alias("all"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))]).first()
-    whole = {c: f"v{i}" for i, c in enumerate(cols) if row[f"n{i}"] == row["all"]}
+    row = clean.agg(F.count("*").alias("all"), *[f(f"v{i}").alias(f"{k}{i}") for i in range(len(cols)) for k, f in (("n", F.count), ("d", F.approx_count_distinct))]).first()
+    at = {c: f"v{i}" for i, c in enumerate(cols)}
+    distinct = {v: row[f"d{v[1:]}"] for v in at.values()}
+    whole = {c for c in cols if row[f"n{at[c][1:]}"] == row["all"]}
     both = [(a, b) for a, b in pairs if a in whole and b in whole]
     out: dict[tuple[str, str], float] = {}
     with Held() as hold:
-        if both:
-            ranked = clean.select(*whole.values())
-            for v in whole.values():
-                ranked = average_ranks(ranked, v, f"r{v}", hold)
-            found = pair_correlations(ranked, [(f"r{whole[a]}", f"r{whole[b]}") for a, b in both])
-            out.update({(a, b): found[f"r{whole[a]}", f"r{whole[b]}"] for a, b in both})
-        for a, b in pairs:
-            if (a, b) not in out:
-                rows = df.select(finite(q(a)).alias("x"), finite(q(b)).alias("y")).where("x is not null and y is not null")
-                ranked = average_ranks(average_ranks(rows, "x", "rx", hold), "y", "ry", hold)
-                out[a, b] = pair_correlations(ranked, [("rx", "ry")])["rx", "ry"]
+        for group in ([both] if both else []) + [[p] for p in pairs if p not in set(both)]:
+            names = list(dict.fromkeys(at[c] for p in group for c in p))
+            rows = clean.select(*names).dropna()
+            found = _ranked_pairs(rows, [(at[a], at[b]) for a, b in group], distinct, hold)
+            out.update({(a, b): found[at[a], at[b]] for a, b in group})
     return out
 
 

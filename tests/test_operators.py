@@ -290,6 +290,31 @@ def psi(n):
     return sum(1 / i for i in range(1, n)) - 0.5772156649015329
 
 
+def test_rank_correlations_join_no_column_of_many_values(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from quern.operators import selection
+
+    rng = np.random.default_rng(3)
+    n = 500
+    t = pd.DataFrame({"many": rng.normal(size=n), "few": rng.integers(0, 5, n) + 0.0, "flat": np.ones(n)})
+    t["near"] = (t["many"] + rng.normal(size=n)).round(1)
+    t["gap.y"] = np.where(rng.random(n) < 0.1, np.nan, -t["many"])
+    t.loc[3, "gap.y"] = np.inf
+    joins, join = [], Frame.join
+    monkeypatch.setattr(Frame, "join", lambda self, other, *a, **k: joins.append(other.count()) or join(self, other, *a, **k))
+    pairs = [(a, b) for i, a in enumerate(t) for b in list(t)[i + 1 :]]
+    found = selection.rank_correlations(spark.createDataFrame(t), list(t), pairs)
+    assert sum(j > n / 2 for j in joins) == 1  # of the two columns of many values whose rows are their own
+    ok = t.replace([np.inf, -np.inf], np.nan)
+    for a, b in pairs:
+        rows = ok[[a, b]].dropna().rank()
+        want = 0.0 if rows[a].std() == 0 or rows[b].std() == 0 else np.corrcoef(rows[a], rows[b])[0, 1]
+        assert found[a, b] == pytest.approx(want, abs=1e-12), (a, b)
+
+
 def unit(x):
     return (x - x.min()) / (x.max() - x.min())
 
